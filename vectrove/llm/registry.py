@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vectrove.llm.bpe import op9_byte_bpe
+from vectrove.llm.language import op6_language_id
+from vectrove.llm.quality import OP5_SQL, op5_quality_rules
+from vectrove.llm.secrets import op4_secret_scan
 from vectrove.llm.token_counts import op1_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op4_secret_scan": op4_secret_scan,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_language_id": op6_language_id,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": OP5_SQL,
+}
