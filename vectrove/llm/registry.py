@@ -11,6 +11,7 @@ from vectrove.llm.language import op6_language_id
 from vectrove.llm.quality import OP5_SQL, op5_quality_rules
 from vectrove.llm.secrets import op4_secret_scan
 from vectrove.llm.token_counts import op1_token_counts
+from vectrove.llm.warc import OP10_SQL, op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
@@ -18,8 +19,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_language_id": op6_language_id,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": OP5_SQL,
+    "op10_warc": OP10_SQL,
 }
