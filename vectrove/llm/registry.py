@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vectrove.llm.bpe import op9_byte_bpe
+from vectrove.llm.jaccard_join import op8_ngram_jaccard
 from vectrove.llm.language import op6_language_id
 from vectrove.llm.quality import OP5_SQL, op5_quality_rules
 from vectrove.llm.secrets import op4_secret_scan
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_quality_rules": op5_quality_rules,
     "op6_language_id": op6_language_id,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,
 }
