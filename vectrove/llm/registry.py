@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vectrove.llm.bpe import op9_byte_bpe
 from vectrove.llm.jaccard_join import op8_ngram_jaccard
 from vectrove.llm.language import op6_language_id
+from vectrove.llm.line_dedup import op2_line_dedup
 from vectrove.llm.quality import OP5_SQL, op5_quality_rules
 from vectrove.llm.secrets import op4_secret_scan
 from vectrove.llm.token_counts import op1_token_counts
@@ -16,6 +17,7 @@ from vectrove.llm.warc import OP10_SQL, op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_line_dedup": op2_line_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op5_quality_rules": op5_quality_rules,
     "op6_language_id": op6_language_id,
