@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vectrove.llm.bpe import op9_byte_bpe
+from vectrove.llm.decontaminate import op3_decontamination
 from vectrove.llm.jaccard_join import op8_ngram_jaccard
 from vectrove.llm.language import op6_language_id
 from vectrove.llm.line_dedup import op2_line_dedup
@@ -18,6 +19,7 @@ from vectrove.llm.warc import OP10_SQL, op10_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
+    "op3_decontamination": op3_decontamination,
     "op4_secret_scan": op4_secret_scan,
     "op5_quality_rules": op5_quality_rules,
     "op6_language_id": op6_language_id,
