@@ -136,8 +136,8 @@ def fit_language_profiles(train: DataFrame, text_col: str = "text", lang_col: st
     return model
 
 
-def identify_language(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), dim: int = DIM) -> DataFrame:
-    """``keep`` columns plus lang_pred and score, the cosine (0 where negative).
+def identify_language(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), dim: int = DIM, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns plus lang_pred and score (named by ``out``), the cosine (0 where negative).
 
     Without a letter (null and empty texts too) or without a model a text is
     ``und`` with score 0.  Equal cosines give the language that sorts first.
@@ -161,9 +161,9 @@ def identify_language(docs: DataFrame, model: dict[str, np.ndarray], text_col: s
                 best = int(np.argmax(cos))
                 names.append(langs[best])
                 scores.append(float(min(1.0, max(0.0, cos[best]))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *out])
 
-    fields = [*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    fields = [*(docs.schema[c] for c in keep), T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())]
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, T.StructType(fields))
 
 
