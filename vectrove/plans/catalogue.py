@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from vectrove.plans import collections, relational
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**collections.QUERIES, **relational.QUERIES}
+ORACLE_SQL: dict[str, str] = {**collections.ORACLE_SQL, **relational.ORACLE_SQL}
