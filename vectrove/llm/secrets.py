@@ -32,7 +32,7 @@ _OPAQUE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _SENSITIVE = re.compile(r"auth|bearer|credential|private|signature|session|cookie|client|passw|pwd|secret|token|access|api|key", re.IGNORECASE | re.ASCII)
 
 #: Code points before a candidate that make its context sensitive, code points of surrounding text on either side, and marginal bytes per character from which it is reported.
-NEAR, AROUND, NOVELTY = 48, 256, 0.55
+NEAR, AROUND, NOVELTY = 48, 256, 0.85
 
 # Common identifiers of source code and configuration files: what a string has to be unlike.
 IDENTIFIERS = (
