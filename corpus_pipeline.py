@@ -16,8 +16,8 @@ from vectrove.llm.jaccard_join import BROADCAST_NODES, ngram_jaccard_join
 from vectrove.llm.language import UNDETERMINED, fit_language_profiles, identify_language
 from vectrove.llm.line_dedup import line_dedup
 
-#: A document whose best language has a cosine below this is in none of the languages learned.
-MIN_LANGUAGE_SCORE = 0.2
+#: A text of some length whose best language has a cosine below this is in none of the languages learned; a shorter one tells too little to go.
+MIN_LANGUAGE_SCORE, MIN_LANGUAGE_CHARS = 0.1, 100
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = fit_language_profiles(docs)
     columns = docs.columns
     told = identify_language(docs, model, keep=tuple(columns), out=("__lang", "__score"))
-    return told.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*columns)
+    alike = (F.col("__score") >= MIN_LANGUAGE_SCORE) | (F.length("text") < MIN_LANGUAGE_CHARS)
+    return told.where((F.col("__lang") != UNDETERMINED) & alike).select(*columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
