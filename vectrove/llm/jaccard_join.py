@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from vectrove.llm._common import materialize, release, table, text_or_empty
 from vectrove.llm._components import connected_components
 
-#: Sets in a block of a candidate group; candidate nodes up to which their table is broadcast (16 bytes each).
-BLOCK, BROADCAST_NODES = 1024, 1 << 21
+#: Sets in a block of a candidate group; rows (of two or three longs) up to which a table is broadcast.
+BLOCK, BROADCAST_NODES = 1024, 1 << 20
 #: Total length up to which short lists are merged on a heap; longer ones are merged by sorting their concatenation.
 HEAP_ENTRIES = 256
 
@@ -268,6 +268,11 @@ def _edges(pairs):
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["u", "v"])
 
 
+def _sized(df: DataFrame) -> DataFrame:
+    """A written table of a few longs a row, broadcast up to a counted number of rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_NODES else df
+
+
 def ngram_jaccard_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """``id_col``, n_shingles, component_id per row of ``docs``.
 
@@ -279,18 +284,23 @@ def ngram_jaccard_join(docs: DataFrame, text_col: str = "text", id_col: str = "d
     cannot name a component: it comes back with its set's size and a null
     component, and links nothing.  Other columns are not read.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     signed = materialize(rows.mapInArrow(_signed(k, num, den), "id long, n long, sig binary, keys array<long>"), "jaccard-sets")
     named = signed.where("n > 0 AND id IS NOT NULL")
     nodes = named.groupBy("sig").agg(F.min("id").alias("node"))
-    own = named.join(nodes.withColumnRenamed("sig", "s"), (F.col("sig") == F.col("s")) & (F.col("id") == F.col("node")), "left_semi")
+    # Equal sets count once: all rows but the one that names the node are left out.
+    copies = materialize(named.join(nodes.withColumnRenamed("sig", "s"), F.col("sig") == F.col("s")).where("id <> node").select(F.col("id").alias("c"), "s").distinct(), "jaccard-copies")
+    own = named.join(_sized(copies), (F.col("id") == F.col("c")) & (F.col("sig") == F.col("s")), "left_anti")
     keyed = own.select(F.col("id").alias("node"), F.explode("keys").alias("key"))
-    shared = keyed.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("k", "first")
-    candidates = keyed.join(shared, F.col("key") == F.col("k")).select(F.col("node").alias("u"), F.col("first").alias("v"))
+    # Most keys occur once. The others are found by counting keys alone, so that few rows carry their node through a shuffle.
+    shared = materialize(keyed.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n")).where("n > 1").select("k"), "jaccard-shared-keys")
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of that count before the next ones are written
+    members = materialize(keyed.join(_sized(shared), F.col("key") == F.col("k")).select("node", "key"), "jaccard-shared-rows")
+    first = members.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("first"))
+    candidates = members.join(first, F.col("key") == F.col("k")).select(F.col("node").alias("u"), F.col("first").alias("v"))
     groups = materialize(connected_components(candidates, "jaccard-candidates"), "jaccard-groups")
-    n_nodes = groups.count()
-    small = F.broadcast(groups) if n_nodes <= BROADCAST_NODES else groups
-    wanted = rows.where("id IS NOT NULL").join(small, F.col("id") == F.col("node")).select("component", "node", "text")
+    wanted = rows.where("id IS NOT NULL").join(_sized(groups), F.col("id") == F.col("node")).select("component", "node", "text")
     sets = materialize(wanted.mapInArrow(_sets(k, num, den), "component long, cls int, node long, s binary").where(F.length("s") > 0), "jaccard-candidate-sets")
     blocks = sets.groupBy(F.col("component").alias("c"), F.col("cls").alias("l")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("rows")).where("rows > 1")
     dealt = sets.join(blocks, (F.col("component") == F.col("c")) & (F.col("cls") == F.col("l"))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -303,7 +313,7 @@ def ngram_jaccard_join(docs: DataFrame, text_col: str = "text", id_col: str = "d
     ids = classes.where("node IS NOT NULL").groupBy(F.col("id").alias("g")).agg(F.min("node").alias("v"), F.max("node").alias("most")).where("v < most")
     same = classes.join(ids, F.col("id") == F.col("g")).where("node > v").select(F.col("node").alias("u"), "v")
     linked = materialize(connected_components(links.union(same), "jaccard-links"), "jaccard-components")
-    release(sets, groups)
+    release(sets, groups, copies, shared, members)
     reached = classes.join(linked.withColumnRenamed("node", "w"), F.col("node") == F.col("w"), "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("id"))
     return reached.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"))
