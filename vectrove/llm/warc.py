@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrove.llm._common import materialize, scratch_path, table
+from vectrove.llm._common import materialize, scratch_path, shuffle_partitions, table
 
 # Fixed values of the formats: the skippable frame that holds a dictionary, a
 # Zstandard frame, and a trained dictionary.
@@ -31,6 +31,8 @@ MIN_REVISIT_BYTES = 100
 #: Bounds of an archive file (bytes of records before compression) and of its dictionary and the records it is trained on.
 ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES = 24 << 20, 64 << 10, 4 << 20
 LEVEL = 6
+#: Tasks that read archives, at most, for each of the session's shuffle partitions.
+TASKS_A_PARTITION = 16
 
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -206,7 +208,9 @@ def read_warc(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=_READ)
 
-    spread = manifest.select("path").repartition("path")
+    # A number of its own, as the few bytes of a manifest would otherwise be merged into one task.
+    tasks = max(1, min(manifest.count(), TASKS_A_PARTITION * shuffle_partitions(manifest.sparkSession)))
+    spread = manifest.select("path").repartition(tasks, "path")
     return spread.mapInArrow(run, "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
 
 
