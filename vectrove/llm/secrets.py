@@ -4,13 +4,16 @@ Fixed patterns find assignments, access keys and hex strings.  The method adds
 *novel* spans: an opaque-looking string in a sensitive context is compressed by
 Zstandard together with the code around it, the compressor primed with a
 dictionary of identifiers.  The bytes it costs beyond the context alone are its
-marginal size; words, paths and identifiers cost little, keys do not compress.
+marginal size, which is held against that of random strings of the same length
+and alphabet in its place: words, paths and identifiers cost less, keys as much.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 from functools import lru_cache
 
 import pyarrow as pa
@@ -31,8 +34,11 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _OPAQUE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _SENSITIVE = re.compile(r"auth|bearer|credential|private|signature|session|cookie|client|passw|pwd|secret|token|access|api|key", re.IGNORECASE | re.ASCII)
 
-#: Code points before a candidate that make its context sensitive, code points of surrounding text on either side, and marginal bytes per character from which it is reported.
-NEAR, AROUND, NOVELTY = 48, 256, 0.85
+#: Code points before a candidate that make its context sensitive, code points of surrounding text on either side, share of a random string's marginal bytes from which it is reported, and random strings drawn for each candidate.
+NEAR, AROUND, NOVELTY, DRAWS = 48, 256, 0.85, 4
+
+#: What keys are written in, the smallest first; signs of a string are added to the first that holds the rest of it.
+ALPHABETS = tuple(map(frozenset, (string.digits, "0123456789abcdef", "0123456789ABCDEF", string.ascii_lowercase, string.ascii_uppercase, string.digits + string.ascii_lowercase, string.digits + string.ascii_uppercase, string.ascii_letters, string.digits + string.ascii_letters)))
 
 # Common identifiers of source code and configuration files: what a string has to be unlike.
 IDENTIFIERS = (
@@ -51,6 +57,8 @@ IDENTIFIERS = (
     "type undefined unit update upload url user username util uuid valid validate value variable vector version view void warning web while "
     "width window with worker write xml year zone ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz 0123456789 "
 )
+# Constants and camel case are written of the same words.
+IDENTIFIERS = IDENTIFIERS.upper().replace(" ", "_") + IDENTIFIERS.title().replace(" ", "") + IDENTIFIERS
 
 
 @lru_cache(maxsize=1)
@@ -60,11 +68,27 @@ def _compressor():
     return zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
 
 
+def _size(text: str) -> int:
+    return len(_compressor().compress(text.encode("utf-8", "surrogatepass")))
+
+
 def marginal_bytes(text: str, start: int, end: int, around: int = AROUND) -> int:
     """Compressed bytes that text[start:end] adds to the text on its two sides."""
     before, after = text[max(0, start - around) : start], text[end : end + around]
-    size = lambda s: len(_compressor().compress(s.encode("utf-8", "surrogatepass")))
-    return size(before + text[start:end] + after) - size(before + after)
+    return _size(before + text[start:end] + after) - _size(before + after)
+
+
+def random_likeness(text: str, start: int, end: int) -> float:
+    """Marginal bytes of text[start:end] as a share of what random strings of its length and alphabet cost in its place."""
+    word = text[start:end]
+    used = set(word)
+    signs = used - ALPHABETS[-1]
+    symbols = sorted(next(a for a in ALPHABETS if used - signs <= a) | signs)
+    r = random.Random(word)  # the same draws for the same string
+    before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+    none = _size(before + after)
+    drawn = sum(_size(before + "".join(r.choices(symbols, k=len(word))) + after) for _ in range(DRAWS)) / DRAWS
+    return (_size(before + word + after) - none) / max(drawn - none, 1)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -79,12 +103,12 @@ def novel_spans(text: str, taken: list[tuple[str, int, int]], novelty: float = N
     """Incompressible strings in a sensitive context that no base span overlaps."""
     found = []
     for m in _OPAQUE.finditer(text):
-        start, end, word = m.start(), m.end(), m.group()
-        if word.isalpha() or word.isdigit() or not _SENSITIVE.search(text, max(0, start - NEAR), start):
+        start, end = m.span()
+        if not _SENSITIVE.search(text, max(0, start - NEAR), start):
             continue
         if any(a < end and start < b for _, a, b in taken):
             continue
-        if marginal_bytes(text, start, end) >= novelty * (end - start):
+        if random_likeness(text, start, end) >= novelty:
             found.append(("novel", start, end))
     return found
 
