@@ -6,7 +6,7 @@ import pytest
 from cases import EDGE, frame, prose
 
 from vectrove.llm import jaccard_join
-from vectrove.llm.jaccard_join import Sizes, divide_skip, ngram_jaccard_join, routing_keys
+from vectrove.llm.jaccard_join import Sizes, divide_skip, listed, merge_skip, ngram_jaccard_join
 
 
 def sets_of(rows, k):
@@ -76,7 +76,22 @@ def test_large_groups_go_block_against_block(spark, monkeypatch):
     compare(spark, [(i, edited(text, i, 1 + i % 3)) for i in range(60)], 3, 9, 10)
 
 
-def test_divide_skip_links_all_and_only_similar_sets():
+def joined(n, links):
+    up = list(range(n))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    return [root(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("labelled", [False, True])
+def test_divide_skip_links_all_and_only_similar_sets(labelled):
     r = np.random.default_rng(2)
     base = r.integers(0, 2**63, 400, dtype=np.uint64)
     sets = []
@@ -86,32 +101,57 @@ def test_divide_skip_links_all_and_only_similar_sets():
         s[at] = r.integers(0, 2**63, len(at), dtype=np.uint64)
         sets.append(np.unique(s))
     sets.sort(key=len)
-    forest = divide_skip(sets, 9, 10)
-    up = list(range(len(sets)))
+    as_sets = [set(s.tolist()) for s in sets]
+    similar = [(a, b) for a in range(len(sets)) for b in range(a) if 10 * len(as_sets[a] & as_sets[b]) >= 9 * len(as_sets[a] | as_sets[b])]
+    known = [(a, a - 1) for a in range(1, len(sets)) if a % 3] if labelled else []
+    links = divide_skip(sets, 9, 10, joined(len(sets), known) if labelled else None)
+    assert set(links) <= set(similar) and len(links) < len(sets)
+    assert joined(len(sets), links + known) == joined(len(sets), similar + known)
 
-    def root(x):
-        while up[x] != x:
-            x = up[x]
-        return x
 
-    as_sets = [set(s.tolist()) for s in sets]
-    for a in range(len(sets)):
-        for b in range(a):
-            if 10 * len(as_sets[a] & as_sets[b]) >= 9 * len(as_sets[a] | as_sets[b]):
-                x, y = root(a), root(b)
-                up[max(x, y)] = min(x, y)
-    assert Counter(forest.root(i) for i in range(len(sets))) == Counter(root(i) for i in range(len(sets)))
+def test_merge_skip_finds_what_occurs_often_enough():
+    r = random.Random(1)
+    for _ in range(300):
+        lists = [sorted(r.sample(range(40), r.randrange(0, 25))) for _ in range(r.randrange(1, 12))]
+        need = r.randrange(1, 8)
+        counts = Counter(x for lst in lists for x in lst)
+        assert list(merge_skip(lists, need)) == sorted((x, n) for x, n in counts.items() if n >= need)
 
 
 @pytest.mark.parametrize("num,den", [(9, 10), (8, 10)])
-def test_routing_loses_no_linked_pair(num, den):
-    r, sizes = np.random.default_rng(5), Sizes(num, den)
+def test_listed_elements_lose_no_linked_pair(num, den):
+    r = np.random.default_rng(5)
     for _ in range(400):
         n = int(r.integers(1, 500))
         x = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
-        most = sizes.differ(len(x))
+        most = len(x) * (den - num) // num
         drop = int(r.integers(0, most + 1))
         y = np.unique(np.concatenate([np.delete(x, r.choice(len(x), drop, replace=False)), r.integers(0, 2**64, int(r.integers(0, most - drop + 1)), dtype=np.uint64)]))
         common = len(np.intersect1d(x, y))
         if len(y) and den * common >= num * (len(x) + len(y) - common):
-            assert set(routing_keys(x, sizes).tolist()) & set(routing_keys(y, sizes).tolist())
+            assert set(x[: listed(len(x), num, den)].tolist()) & set(y[: listed(len(y), num, den)].tolist())
+            sizes = Sizes(num, den)
+            assert set(sizes.classes(len(x))) & set(sizes.classes(len(y)))
+
+
+def test_shared_passages_make_no_candidates(spark, monkeypatch):
+    """Boilerplate links thousands of unlike documents into no group: their rarest shingles are their own."""
+    from vectrove.llm import jaccard_join as jj
+
+    seen = []
+    monkeypatch.setattr(jj, "_candidate_edges", lambda some, _f=jj._candidate_edges: seen.append(some.count()) or _f(some))
+    passages = [prose(500 + i, 40) for i in range(12)]
+    rows = [(i, " ".join([passages[i % 12], passages[(i * 5 + 1) % 12], " ".join(f"own{i}x{j}" for j in range(60))])) for i in range(2000)]
+    got = ngram_jaccard_join(frame(spark, rows, clash=False), k=3, num=9, den=10).where("component_id = doc_id").count()
+    assert got == 2000 and seen == [0]
+
+
+def test_chunks_and_parts(spark):
+    rows = [x for x in ROWS if x[0] < 300]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard_join(frame(spark, rows), k=3, num=9, den=10, parts=5, chunk_shingles=700).collect())
+    assert got == [x[1:] for x in brute(rows, 3, 9, 10)]
+
+
+def test_repeated_and_nameless_rows(spark):
+    rows = [(4, prose(1, 90))] * 3 + [(None, prose(1, 90))] * 2 + [(6, prose(1, 90)), (None, prose(2, 50)), (None, prose(2, 50)), (7, edited(prose(1, 90), 3, 1))]
+    compare(spark, rows, 3, 9, 10)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectrove.llm._common import table, text_or_empty
+from vectrove.llm._packed import pack, pack_keys, unpack, unpack_keys
 
 #: Slots (as powers of two) for words and for word pairs, slots to a chunk, and the weight of the word model in the pair model.
 WORD_BITS, PAIR_BITS, CHUNK, PRIOR = 18, 21, 1 << 13, 20.0
@@ -167,29 +168,6 @@ class _Ids(dict):
         return n
 
 
-def _pack(counts: np.ndarray) -> bytes:
-    """Whole numbers as planes of bytes, compressed."""
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    import zstandard
-
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
-
-
-def _pack_keys(keys: np.ndarray) -> bytes:
-    """Keys in rising order, as the steps between them."""
-    return _pack(np.diff(keys, prepend=np.uint64(0)))
-
-
-def _unpack_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(data).view(np.uint64), dtype=np.uint64)
-
-
 def _pairs_of(keys: np.ndarray, tokens: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different pair keys in order, for each pair its place among them, and which tokens have a word before them."""
     inner = np.ones(len(tokens), bool)
@@ -217,7 +195,7 @@ def _words(parts: int, chunk_tokens: int):
 
         keys = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, seen), np.uint64, len(seen)))
         of = np.searchsorted(_part_of(keys, parts), np.arange(parts + 1))
-        rows = [{"part": part, "words": _pack_keys(keys[of[part] : of[part + 1]]), "n_target": 0, "n_all": 0} for part in range(parts) if of[part] < of[part + 1]]
+        rows = [{"part": part, "words": pack_keys(keys[of[part] : of[part + 1]]), "n_target": 0, "n_all": 0} for part in range(parts) if of[part] < of[part + 1]]
         rows[0] |= {"n_target": n[0], "n_all": n[1]}
         return pa.RecordBatch.from_pylist(rows, schema=_arrow_schema(_VOCABULARY))
 
@@ -252,7 +230,7 @@ def _count_words(batches):
                 yield close(part, held, n)
                 held, n = [], [0, 0]
             part = row["part"]
-            held.append(_unpack_keys(row["words"]))
+            held.append(unpack_keys(row["words"]))
             n = [n[0] + row["n_target"], n[1] + row["n_all"]]
     if held:
         yield close(part, held, n)
@@ -274,7 +252,7 @@ def _send(parts: int, n_keep: int, chunk_tokens: int):
         held = pa.Table.from_batches(kept)
         with pa.ipc.new_stream(sink, held.schema) as out:
             out.write_table(held)
-        rows = [{"route": chunk % 1_000_003 % parts, "part": -1, "chunk": chunk, "words": _pack_keys(keys), "word_all": _pack(tokens), "pair_all": _pack(lens), "kept": sink.getvalue().to_pybytes()}]
+        rows = [{"route": chunk % 1_000_003 % parts, "part": -1, "chunk": chunk, "words": pack_keys(keys), "word_all": pack(tokens), "pair_all": pack(lens), "kept": sink.getvalue().to_pybytes()}]
         made = []
         for different, place in ((keys, tokens), (pairs, place)):
             of = np.searchsorted(_part_of(different, parts), np.arange(parts + 1))
@@ -285,7 +263,7 @@ def _send(parts: int, n_keep: int, chunk_tokens: int):
             row = {"route": part, "part": part, "chunk": chunk}
             for name, (different, target, every, of) in zip(("word", "pair"), made):
                 a, b = of[part], of[part + 1]
-                row |= {f"{name}s": _pack_keys(different[a:b]), f"{name}_target": _pack(target[a:b]), f"{name}_all": _pack(every[a:b])}
+                row |= {f"{name}s": pack_keys(different[a:b]), f"{name}_target": pack(target[a:b]), f"{name}_all": pack(every[a:b])}
             rows.append(row)
         return pa.RecordBatch.from_pylist(rows, schema=_arrow_schema(_SENT))
 
@@ -327,14 +305,14 @@ def _answer(batches):
     def close(part, held):
         rows = [{"chunk": r["chunk"], "part": part} for r in held]
         for name in ("word", "pair"):
-            keys = [_unpack_keys(r[f"{name}s"]) for r in held]
+            keys = [unpack_keys(r[f"{name}s"]) for r in held]
             ends = np.cumsum([len(k) for k in keys])[:-1]
             different, place = np.unique(np.concatenate(keys), return_inverse=True)
             for side in ("target", "all"):
                 # Sums of whole numbers, exact in doubles up to 2^53.
-                total = np.bincount(place, np.concatenate([_unpack(r[f"{name}_{side}"]) for r in held]), len(different)).astype(np.int64)
+                total = np.bincount(place, np.concatenate([unpack(r[f"{name}_{side}"]) for r in held]), len(different)).astype(np.int64)
                 for row, counts in zip(rows, np.split(total[place], ends)):
-                    row[f"{name}_{side}"] = _pack(counts)
+                    row[f"{name}_{side}"] = pack(counts)
         for lo in range(0, len(rows), 64):
             yield pa.RecordBatch.from_pylist(rows[lo : lo + 64], schema=schema)
 
@@ -357,9 +335,9 @@ def _score(n_words: int, totals: tuple[int, int]):
     """Rows come sorted by (chunk, part): a chunk's tokens, then what its parts answered in the order of the keys."""
 
     def close(body, answers):
-        keys, tokens, lens = _unpack_keys(body["words"]), _unpack(body["word_all"]), _unpack(body["pair_all"])
+        keys, tokens, lens = unpack_keys(body["words"]), unpack(body["word_all"]), unpack(body["pair_all"])
         pairs, place, at = _pairs_of(keys, tokens, lens)
-        counts = lambda name: np.concatenate([np.zeros(0, np.int64), *(_unpack(r[name]) for r in answers)])
+        counts = lambda name: np.concatenate([np.zeros(0, np.int64), *(unpack(r[name]) for r in answers)])
         loss = []
         for side, total in zip(("target", "all"), totals):
             one, both = counts(f"word_{side}"), counts(f"pair_{side}")
