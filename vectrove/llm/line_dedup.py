@@ -13,8 +13,10 @@ the last power of two lines in the window name it.  A run counts when it has
 ``min_words`` words.  From each line the shortest such window onwards and
 backwards is taken: the windows that recur cover exactly the maximal repeated
 runs.  Doubling thus ends at the longest window, min_words lines at most,
-whatever the length of the copies.  The first window of an interval stays, by
-(doc_id, line); the lines of the others are deleted.
+whatever the length of the copies.  The first window of an interval stays whole,
+by (doc_id, line); the lines of the others are deleted, but for those that a
+copy which overlaps the first one shares with it.  Frequent lines and ranks are
+joined apart from the others.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectrove.llm._common import materialize, release, table, text_or_empty
+from vectrove.llm._exchange import split_join
 
 #: Words from which a repeated run counts; edits (documents to change) up to which their table is broadcast, and ranges up to which.
 MIN_WORDS, BROADCAST_DOCS, BROADCAST_RANGES = 50, 1 << 19, 1 << 21
@@ -38,8 +41,8 @@ def _word_lines(docs: DataFrame) -> DataFrame:
 
 
 def _ranked(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """(ka, kb, rank): ranks grow in the order of the distinct pairs; they need not be dense."""
-    distinct = pairs.select(F.col(a).alias("ka"), F.col(b).alias("kb")).distinct()
+    """(ka, kb, n, rank): ranks grow in the order of the distinct pairs; they need not be dense."""
+    distinct = pairs.groupBy(F.col(a).alias("ka"), F.col(b).alias("kb")).agg(F.count("*").alias("n"))
     return distinct.repartitionByRange("ka", "kb").sortWithinPartitions("ka", "kb").withColumn("rank", F.monotonically_increasing_id())
 
 
@@ -82,22 +85,28 @@ def _windows(levels: int, min_words: int):
 
 def repeated_line_runs(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, th, ranges: per document the line ranges (first, last, counted from
-    0, both included, merged) that repeat an earlier run of ``min_words`` words.
+    0, both included, merged) that repeat an earlier run of ``min_words`` words,
+    beyond the end of that run.
 
     th is xxhash64 of the text; a document is the pair (doc_id, th).  Order is
-    by doc_id (null first), th, line.  A run may repeat an earlier one of its
-    own document.  Lines without a word do not count and go with the run they
-    stand in.  Null and empty texts have no lines.
+    by doc_id (null first), th, line, so there are no ties.  A run may repeat an
+    earlier one of its own document.  Lines without a word do not count and go
+    with the run they stand in.  Null and empty texts have no lines; repeated
+    rows are one document; texts are read whole, a document's repeated lines in
+    one row; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     lines = _word_lines(rows)
-    twice = lines.groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(F.count("*").alias("n")).where("n > 1").select("g1", "g2")
+    twice = materialize(lines.groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(F.count("*").alias("n")).where("n > 1"), "lines-twice")
+    total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # Equal rows of the input are one document.
-    again = lines.join(twice, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left_semi").dropDuplicates(["doc_id", "th", "seq"])
+    again = split_join(lines, twice, [("h1", "g1"), ("h2", "g2")], "n", total).drop("g1", "g2", "n").dropDuplicates(["doc_id", "th", "seq"])
     own = Window.partitionBy("doc_id", "th")
     again = again.withColumn("seg", F.col("seq") - F.row_number().over(own.orderBy("seq")))
     again = again.withColumn("words", F.sum("nw").over(Window.partitionBy("doc_id", "th", "seg"))).where(F.col("words") >= min_words).drop("words")
     now = materialize(again, "lines-repeated")
+    release(twice)
+    total = now.count()
     ordered = Window.partitionBy("doc_id", "th", "seg").orderBy("seq")
     # The longest window that is taken: lines from one on until they have min_words words (backwards it may take one more).
     onwards = F.collect_list("nw").over(ordered.rowsBetween(0, min_words - 1))
@@ -106,25 +115,31 @@ def repeated_line_runs(docs: DataFrame, text_col: str = "text", id_col: str = "d
     longest = now.select(onwards.alias("ahead")).agg(F.max(need)).first()[0] or 1
     levels = (int(longest) + 1).bit_length()
     ranks = _ranked(now, "h1", "h2")
-    level = materialize(now.join(ranks, (F.col("h1") == F.col("ka")) & (F.col("h2") == F.col("kb"))).select("doc_id", "th", "seg", "seq", "pos", "nw", F.col("rank").alias("r0")), "lines-rank0")
-    release(now)
+    ranks = materialize(ranks, "lines-rank-table")
+    level = materialize(split_join(now, ranks, [("h1", "ka"), ("h2", "kb")], "n", total).select("doc_id", "th", "seg", "seq", "pos", "nw", F.col("rank").alias("r0")), "lines-rank0")
+    release(now, ranks)
     for k in range(1, levels):
         paired = level.withColumn("next", F.coalesce(F.lead(f"r{k - 1}", 1 << (k - 1)).over(ordered), F.lit(-1).cast("long")))
         paired = materialize(paired, "lines-pairs")
         release(level)
-        ranks = _ranked(paired, f"r{k - 1}", "next")
-        joined = paired.join(ranks, (F.col(f"r{k - 1}") == F.col("ka")) & (F.col("next") == F.col("kb")))
+        ranks = materialize(_ranked(paired, f"r{k - 1}", "next"), "lines-rank-table")
+        joined = split_join(paired, ranks, [(f"r{k - 1}", "ka"), ("next", "kb")], "n", total)
         level = materialize(joined.select("doc_id", "th", "seg", "seq", "pos", "nw", *(f"r{i}" for i in range(k)), F.col("rank").alias(f"r{k}")), "lines-ranks")
-        release(paired)
+        release(paired, ranks)
     fields = ["seq", "pos", "nw", *(f"r{i}" for i in range(levels))]
     segments = level.groupBy("doc_id", "th", "seg").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("lines")).select("doc_id", "th", "lines")
     windows = materialize(segments.mapInArrow(_windows(levels, min_words), "doc_id long, th long, seq int, first int, last int, m int, ra long, rb long"), "lines-windows")
     release(level)
-    place = F.struct("doc_id", "th", "seq")
-    intervals = windows.groupBy(F.col("m").alias("im"), F.col("ra").alias("ia"), F.col("rb").alias("ib")).agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = windows.join(intervals, (F.col("m") == F.col("im")) & (F.col("ra") == F.col("ia")) & (F.col("rb") == F.col("ib"))).where(~place.eqNullSafe(F.col("kept")))
+    intervals = windows.groupBy(F.col("m").alias("im"), F.col("ra").alias("ia"), F.col("rb").alias("ib")).agg(F.min(F.struct("doc_id", "th", "seq", "last")).alias("kept"), F.count("*").alias("n")).where("n > 1")
+    intervals = materialize(intervals, "lines-intervals")
+    shared = split_join(windows, intervals, [("m", "im"), ("ra", "ia"), ("rb", "ib")], "n", windows.count())
+    # A copy that overlaps the window that stays loses what goes beyond it.
+    own = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("th") == F.col("kept.th"))
+    later = shared.where(~(own & (F.col("seq") == F.col("kept.seq")))).withColumn("first", F.when(own, F.greatest("first", F.col("kept.last") + 1)).otherwise(F.col("first")))
     found = later.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("ranges"))
-    return materialize(found.mapInArrow(_merged, "doc_id long, th long, ranges array<struct<first:int,last:int>>"), "lines-runs")
+    runs = materialize(found.mapInArrow(_merged, "doc_id long, th long, ranges array<struct<first:int,last:int>>"), "lines-runs")
+    release(windows, intervals)
+    return runs
 
 
 def _merged(batches):
@@ -142,28 +157,31 @@ def _merged(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(every, kind)], names=["doc_id", "th", "ranges"])
 
 
-def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS, out: tuple[str, str, str] = ("n_lines", "n_deleted", "emptied")) -> DataFrame:
     """``docs`` with the text's later copies of repeated runs deleted, plus
-    n_lines, n_deleted (lines) and emptied (no line with a word is left of some).
+    n_lines, n_deleted (lines) and emptied (no line with a word is left of some),
+    named by ``out``.
 
-    Every row comes back.  A null text stays null, with no lines.  Columns of
-    ``docs`` named like an added one are replaced.
+    Every row comes back, repeated ones alike.  A null text stays null, with no
+    lines; null ids come first.  Columns of ``docs`` named like an added one are
+    replaced.
     """
+    n_lines, n_deleted, emptied = out
     runs = repeated_line_runs(docs, text_col, id_col, min_words)
     size = runs.agg(F.count("*"), F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()
     edits = runs.select(F.col("doc_id").alias("__id"), F.col("th").alias("__edit_th"), F.col("ranges").alias("__ranges"))
     edits = F.broadcast(edits) if size[0] <= BROADCAST_DOCS and size[1] <= BROADCAST_RANGES else edits.hint("shuffle_hash")
-    rows = docs.drop(*(c for c in ("n_lines", "n_deleted", "emptied") if c not in (text_col, id_col)))
+    rows = docs.drop(*(c for c in out if c not in (text_col, id_col)))
     rows = rows.withColumn("__th", F.xxhash64(text_or_empty(text_col)))
     rows = rows.join(edits, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__edit_th")), "left")
     rows = rows.withColumn("__lines", F.split(text_or_empty(text_col), "\n"))
     left = F.filter("__lines", lambda x, i: ~F.exists("__ranges", lambda r: (i >= r["first"]) & (i <= r["last"])))
     rows = rows.withColumn("__left", F.when(F.col("__ranges").isNull(), F.col("__lines")).otherwise(left))
     text = F.when(F.col("__ranges").isNull(), F.col(text_col)).otherwise(F.array_join("__left", "\n"))
-    n_lines = F.when(text_or_empty(text_col) == "", F.lit(0)).otherwise(F.size("__lines"))
-    out = rows.withColumn("n_lines", n_lines.cast("long")).withColumn("n_deleted", (F.size("__lines") - F.size("__left")).cast("long"))
-    out = out.withColumn("emptied", F.col("__ranges").isNotNull() & ~F.exists("__left", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    return out.withColumn(text_col, text).drop("__id", "__edit_th", "__ranges", "__th", "__lines", "__left")
+    number = F.when(text_or_empty(text_col) == "", F.lit(0)).otherwise(F.size("__lines"))
+    made = rows.withColumn(n_lines, number.cast("long")).withColumn(n_deleted, (F.size("__lines") - F.size("__left")).cast("long"))
+    made = made.withColumn(emptied, F.col("__ranges").isNotNull() & ~F.exists("__left", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    return made.withColumn(text_col, text).drop("__id", "__edit_th", "__ranges", "__th", "__lines", "__left")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
