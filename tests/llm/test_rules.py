@@ -7,7 +7,7 @@ import numpy as np
 from cases import EDGE, LONG, frame, prose
 from pyspark.sql import functions as F
 
-from vectrove.llm.language import fit_language_profiles, identify_language, trigrams
+from vectrove.llm.language import Vectors, _letter_vector, _trigram_vector, fit_language_profiles, identify_language, trigrams
 from vectrove.llm.lm_score import cross_entropy_difference, fit_models, losses, mark_targets, slots
 from vectrove.llm.quality import quality_cascade
 from vectrove.llm.secrets import base_spans, marginal_bytes, novel_spans, secret_scan, written
@@ -106,11 +106,53 @@ def test_language_edges(spark):
     assert len(got) == len(EDGE)
     assert {(r.lang_pred, r.score) for r in got if r.doc_id in (1, 2, 3)} == {("und", 0.0)}
     assert {r.lang_pred for r in got if r.doc_id == 4} == {"en"}
-    assert fit_language_profiles(frame(spark, [])) == {}
-    assert {r.lang_pred for r in identify_language(docs, {}).collect()} == {"und"}
+    none = fit_language_profiles(frame(spark, []))
+    assert none.count() == 0
+    assert {r.lang_pred for r in identify_language(docs, none).collect()} == {"und"}
     assert identify_language(frame(spark, []), model).count() == 0
 
 
+def plain_bundle(text, dim):
+    """Trigram by trigram, letter by letter."""
+    letters = "".join(c if c.isalpha() else " " for c in text.lower())
+    letters = " " + " ".join(letters.split()) + " "
+    out = np.zeros(dim)
+    for a, b, c in zip(letters, letters[1:], letters[2:]):
+        x, y, z = (_letter_vector(ord(ch), dim).astype(int) for ch in (a, b, c))
+        for i in range(dim):
+            out[i] += x[(i - 2) % dim] * y[(i - 1) % dim] * z[i]
+    return out
+
+
+def test_language_against_plain_loops(spark):
+    rows = [(1, "aber nicht doch", "de"), (2, "Über die Brücke, über!", "de"), (3, "the bridge is over there", "en"), (4, "橋の上 the", "ja"), (5, "not there", None), (6, "12 !", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, dim = fit_language_profiles(docs, dim=64), 64
+    want = {lang: sum(plain_bundle(t, dim) for _, t, x in rows if x == lang and any(c.isalpha() for c in t)) for lang in ("de", "en", "ja")}
+    got = {r.lang: np.array(r.v) for r in model.collect()}
+    assert got.keys() == want.keys() and all((got[x] == want[x]).all() for x in want)
+    for pieces in (1 << 20, 1):
+        for r in identify_language(docs, model, dim=dim, model_bytes=pieces).collect():
+            text = rows[r.doc_id - 1][1]
+            if r.doc_id == 6:
+                assert (r.lang_pred, r.score) == ("und", 0.0)
+                continue
+            v = plain_bundle(text, dim)
+            cos = {x: v @ want[x] / np.linalg.norm(v) / np.linalg.norm(want[x]) for x in want}
+            best = max(sorted(cos), key=cos.get)
+            assert r.lang_pred == best and abs(r.score - max(0.0, cos[best])) < 1e-9
+
+
+def test_bundles_are_exact_however_large_and_when_vectors_are_made_anew():
+    r = np.random.default_rng(3)
+    codes = np.unique(r.integers(97, 900, (300, 3)) @ np.array([1 << 42, 1 << 21, 1]))
+    counts = r.integers(1, 1 << 30, len(codes))
+    want = sum(int(n) * _trigram_vector(int(c), 128).astype(np.int64) for c, n in zip(codes, counts))
+    for room in (64, 4096):
+        vectors = Vectors(128, room)
+        assert all((vectors.bundle(codes, counts) == want).all() for _ in range(2))
+
+
 def test_trigrams():
     codes, counts = trigrams("Ab, ab!")
     decode = lambda c: "".join(chr((c >> s) & 0x1FFFFF) for s in (42, 21, 0))

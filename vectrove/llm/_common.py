@@ -62,6 +62,15 @@ def release(*frames: DataFrame) -> None:
         drop_path(df.sparkSession, df._vectrove_path)
 
 
+#: Rows of two or three longs up to which a written table is broadcast.
+BROADCAST_ROWS = 1 << 20
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A written table of a few longs a row, broadcast up to a counted number of rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

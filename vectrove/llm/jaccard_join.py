@@ -40,13 +40,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrove.llm._common import materialize, release, table, text_or_empty
+from vectrove.llm._common import materialize, release, sized, table, text_or_empty
 from vectrove.llm._components import connected_components
 from vectrove.llm._exchange import split_join
 from vectrove.llm._packed import pack, pack_keys, unpack, unpack_keys
 
-#: Sets in a block of a candidate group and their shingles; rows (of two or three longs) up to which a table is broadcast.
-BLOCK, BLOCK_SHINGLES, BROADCAST_NODES = 1024, 1 << 22, 1 << 20
+#: Sets in a block of a candidate group, and their shingles.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
 #: Shingles to a chunk of documents (a longer text is one by itself), and characters of text to each part of the counts.
 CHUNK_SHINGLES, PART_CHARS = 1 << 21, 1 << 24
 #: The weight of a long list's look-up in the cost formula, and candidates looked up at once.
@@ -415,11 +415,6 @@ def _edges(pairs):
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["u", "v"])
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """A written table of a few longs a row, broadcast up to a counted number of rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_NODES else df
-
-
 def _searched(dealt: DataFrame, keys: list[str], num: int, den: int, labelled: bool = False) -> DataFrame:
     columns = [*keys, "node", "s", *(["label"] if labelled else [])]
     return dealt.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_search(num, den, len(keys), labelled), "u long, v long")
@@ -442,21 +437,21 @@ def _blocks(rows: Column | None = None, shingles: Column | None = None) -> Colum
 
 def _large_groups(sets: DataFrame, large: DataFrame, prefixes: DataFrame, num: int, den: int) -> DataFrame:
     """u, v: links that connect what links connect in the groups of ``large`` (c)."""
-    own = sets.join(_sized(large), F.col("component") == F.col("c"), "left_semi").select("component", "node", "n", F.explode("classes").alias("cls"), "s")
+    own = sets.join(sized(large), F.col("component") == F.col("c"), "left_semi").select("component", "node", "n", F.explode("classes").alias("cls"), "s")
 
     def block(n):
         return F.pmod(F.xxhash64("node"), n).cast("int")
 
-    def sized(rows):
+    def blocks_of(rows):
         """Blocks of each (component, cls)."""
-        return _sized(materialize(rows.groupBy(F.col("component").alias("c"), F.col("cls").alias("l")).agg(_blocks().alias("blocks")), "jaccard-blocks"))
+        return sized(materialize(rows.groupBy(F.col("component").alias("c"), F.col("cls").alias("l")).agg(_blocks().alias("blocks")), "jaccard-blocks"))
 
     same = (F.col("component") == F.col("c")) & (F.col("cls") == F.col("l"))
     keys = ["component", "cls"]
-    one = materialize(_searched(own.join(sized(own), same).withColumn("i", block(F.col("blocks"))), [*keys, "i"], num, den), "jaccard-block-links")
+    one = materialize(_searched(own.join(blocks_of(own), same).withColumn("i", block(F.col("blocks"))), [*keys, "i"], num, den), "jaccard-block-links")
     trees = materialize(connected_components(one, "jaccard-block-trees"), "jaccard-block-roots")
     roots = own.join(trees.where("node <> component").select(F.col("node").alias("below")), F.col("node") == F.col("below"), "left_anti")
-    two = materialize(_searched(roots.join(sized(roots), same).withColumn("i", block(F.col("blocks"))), [*keys, "i"], num, den), "jaccard-root-links")
+    two = materialize(_searched(roots.join(blocks_of(roots), same).withColumn("i", block(F.col("blocks"))), [*keys, "i"], num, den), "jaccard-root-links")
     far = one.union(two)
     after = materialize(connected_components(far, "jaccard-large-trees"), "jaccard-large-roots").select(F.col("node").alias("w"), F.col("component").alias("tree"))
     # Only lists that still hold nodes of two trees can give another link.
@@ -469,11 +464,11 @@ def _large_groups(sets: DataFrame, large: DataFrame, prefixes: DataFrame, num: i
         release(lists, open_, trees)
         return far
     # The largest tree of a group and size class is its main one; nodes of others are compared with all open nodes.
-    rest = own.join(_sized(open_), F.col("node") == F.col("o")).drop("o")
+    rest = own.join(sized(open_), F.col("node") == F.col("o")).drop("o")
     size = rest.groupBy(*keys, "label").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
     main = size.groupBy(F.col("component").alias("c"), F.col("cls").alias("l")).agg(F.max(F.struct("rows", F.negate("label").alias("m"), "n")).alias("x"), F.sum("rows").alias("rows"), F.sum("n").alias("n"))
     main = main.select("c", "l", F.negate(F.col("x.m")).alias("main"), _blocks(F.col("rows"), F.col("n")).alias("blocks"), _blocks(F.col("rows") - F.col("x.rows"), F.col("n") - F.col("x.n")).alias("outer")).where("outer > 0")
-    dealt = rest.join(_sized(materialize(main, "jaccard-main-trees")), same)
+    dealt = rest.join(sized(materialize(main, "jaccard-main-trees")), same)
     members = dealt.withColumn("i", block(F.col("blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)))
     others = dealt.where(F.col("label") != F.col("main")).withColumn("j", block(F.col("outer"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # A node may stand in a group twice, under one label.
@@ -507,11 +502,11 @@ def ngram_jaccard_join(docs: DataFrame, text_col: str = "text", id_col: str = "d
     # Equal texts count once: all rows but those that name the text are left out.
     repeated = texts.where("n_rows > 1 AND first IS NOT NULL")
     copies = materialize(split_join(named, repeated, [("th", "t")], "n_rows", total).where("id IS NULL OR id <> first").select(F.coalesce("id", F.lit(-1)).alias("c"), F.col("t").alias("ct"), F.col("id").isNull().alias("cn")).distinct(), "jaccard-copies")
-    own = rows.join(_sized(copies), (F.coalesce("id", F.lit(-1)) == F.col("c")) & (F.col("th") == F.col("ct")) & (F.col("id").isNull() == F.col("cn")), "left_anti")
+    own = rows.join(sized(copies), (F.coalesce("id", F.lit(-1)) == F.col("c")) & (F.col("th") == F.col("ct")) & (F.col("id").isNull() == F.col("cn")), "left_anti")
     # Of rows that repeat an id and its text one is left.
     twice = texts.where("most > 1").select(F.col("t").alias("twice"))
     if twice.limit(1).count():
-        twice, again = _sized(twice), F.col("th") == F.col("twice")
+        twice, again = sized(twice), F.col("th") == F.col("twice")
         own = own.join(twice, again, "left_anti").unionByName(own.join(twice, again, "left_semi").dropDuplicates(["id", "th"]))
     # Counts of shingles, and from them each node's first elements.
     sent = own.select("id", "th", "text").mapInArrow(_send(k, bits, parts, chunk_shingles), _SENT)
@@ -519,11 +514,11 @@ def ngram_jaccard_join(docs: DataFrame, text_col: str = "text", id_col: str = "d
     prefixes = materialize(asked.repartitionById(parts, "route").sortWithinPartitions("chunk", "part").mapInArrow(_lists(num, den), _LISTED), "jaccard-prefixes")
     some = prefixes.where(F.size("keys") > 0)
     groups = materialize(connected_components(_candidate_edges(some), "jaccard-candidates"), "jaccard-groups")
-    wanted = own.join(_sized(groups), F.col("id") == F.col("node")).select("component", "node", "text")
+    wanted = own.join(sized(groups), F.col("id") == F.col("node")).select("component", "node", "text")
     sets = materialize(wanted.mapInArrow(_sets(k, num, den), "component long, node long, n long, classes array<int>, s binary"), "jaccard-candidate-sets")
     large = materialize(sets.groupBy(F.col("component").alias("c")).agg(_blocks().alias("blocks")).where("blocks > 1").select("c"), "jaccard-large-groups")
     n_large = large.count()
-    small = sets if not n_large else sets.join(_sized(large), F.col("component") == F.col("c"), "left_anti")
+    small = sets if not n_large else sets.join(sized(large), F.col("component") == F.col("c"), "left_anti")
     links = materialize(_searched(small, ["component"], num, den), "jaccard-links")
     if n_large:
         links = links.union(_large_groups(sets, large, some.select("node", "keys"), num, den))
@@ -531,7 +526,7 @@ def ngram_jaccard_join(docs: DataFrame, text_col: str = "text", id_col: str = "d
     shared = named.where("id IS NOT NULL").groupBy(F.col("id").alias("i")).agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a < b").select("i")
     shared = materialize(shared, "jaccard-shared-ids")
     if shared.limit(1).count():
-        nodes = named.join(_sized(shared), F.col("id") == F.col("i"), "left_semi").join(texts, F.col("th") == F.col("t")).select("id", F.col("first").alias("node")).distinct()
+        nodes = named.join(sized(shared), F.col("id") == F.col("i"), "left_semi").join(texts, F.col("th") == F.col("t")).select("id", F.col("first").alias("node")).distinct()
         least = nodes.groupBy(F.col("id").alias("g")).agg(F.min("node").alias("v"))
         links = links.union(nodes.join(least, F.col("id") == F.col("g")).where("node > v").select(F.col("node").alias("u"), "v"))
     linked = materialize(connected_components(links, "jaccard-joined"), "jaccard-components")

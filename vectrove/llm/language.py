@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectrove.llm._common import table
+from vectrove.llm._common import materialize, table
 
 #: Length of a vector, and how many trigram vectors a worker keeps.
 DIM, KEPT_VECTORS = 1024, 1 << 14
-#: A model may hold this many bytes of prototypes; more labels than that is an error.
+#: Bytes of prototypes that are compared with the documents in one pass over them.
 MODEL_BYTES = 64 << 20
 UNDETERMINED = "und"
 
@@ -47,31 +47,30 @@ def _trigram_vector(code: int, dim: int) -> np.ndarray:
 
 
 class Vectors:
-    """Trigram vectors by row number; rows are filled as trigrams turn up, and beyond the bound made anew."""
+    """Trigram vectors by row number.  Rows are filled as trigrams turn up; when
+    there is no room for a text's new ones, the rows are begun anew."""
 
-    def __init__(self, dim: int):
+    def __init__(self, dim: int, room: int = KEPT_VECTORS):
         self.dim, self.row_of = dim, {}
-        self.rows = np.empty((KEPT_VECTORS, dim), np.float32)
+        self.rows = np.empty((room, dim), np.float32)
 
     def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        at, rest = np.empty(len(codes), np.int64), []
-        for k, code in enumerate(codes.tolist()):
-            row = self.row_of.get(code)
-            if row is None:
-                if len(self.row_of) < KEPT_VECTORS:
-                    row = self.row_of[code] = len(self.row_of)
-                    self.rows[row] = _trigram_vector(code, self.dim)
-                else:
-                    row = -1
-                    rest.append(k)
-            at[k] = row
-        known = at >= 0
+        """The sum of the trigrams' vectors, each times its count, in whole numbers."""
         out = np.zeros(self.dim)
-        w, r = counts[known].astype(np.float32), at[known]
-        for i in range(0, len(r), 4096):
-            out += w[i : i + 4096] @ self.rows[r[i : i + 4096]]
-        for k in rest:
-            out += float(counts[k]) * _trigram_vector(int(codes[k]), self.dim)
+        step = min(4096, len(self.rows))
+        for lo in range(0, len(codes), step):
+            part = codes[lo : lo + step].tolist()
+            if len(self.row_of) + sum(c not in self.row_of for c in part) > len(self.rows):
+                self.row_of.clear()
+            for code in part:
+                if code not in self.row_of:
+                    self.row_of[code] = row = len(self.row_of)
+                    self.rows[row] = _trigram_vector(code, self.dim)
+            at = np.fromiter(map(self.row_of.__getitem__, part), np.int64, len(part))
+            n = counts[lo : lo + step]
+            # Single precision holds whole numbers up to 2**24.
+            exact = np.float32 if n.sum() < 1 << 24 else np.float64
+            out += n.astype(exact) @ self.rows[at].astype(exact, copy=False)
         return out
 
 
@@ -92,11 +91,14 @@ def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     return np.unique((codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:], return_counts=True)
 
 
-def fit_language_profiles(train: DataFrame, text_col: str = "text", lang_col: str = "lang", dim: int = DIM) -> dict[str, np.ndarray]:
-    """Prototype by language from every row of ``train`` with a language and a letter.
+def fit_language_profiles(train: DataFrame, text_col: str = "text", lang_col: str = "lang", dim: int = DIM) -> DataFrame:
+    """lang, v, n: by language its prototype and how many trigrams it bundles, from
+    every row of ``train`` with a language and a letter.
 
-    Trigram counts are added up per language within a task, and sums of whole
-    numbers below 2**53 do not depend on the order of rows.
+    Trigram counts are added up per language within a task.  Vectors are summed
+    in double precision, where whole numbers below 2**53 are exact, so that a
+    prototype does not depend on the order of rows.  Repeated rows count each;
+    rows without text or language not at all; an empty table gives no prototype.
     """
 
     def run(batches):
@@ -106,8 +108,8 @@ def fit_language_profiles(train: DataFrame, text_col: str = "text", lang_col: st
 
         def empty(lang):
             part = held.pop(lang)
-            codes = np.fromiter(part.keys(), np.int64, len(part))
-            sums[lang] = sums.get(lang, 0) + vectors.bundle(codes, np.fromiter(part.values(), np.int64, len(part)))
+            codes, counts = np.fromiter(part.keys(), np.int64, len(part)), np.fromiter(part.values(), np.int64, len(part))
+            sums[lang] = sums.get(lang, 0) + np.append(vectors.bundle(codes, counts), counts.sum())
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -122,54 +124,82 @@ def fit_language_profiles(train: DataFrame, text_col: str = "text", lang_col: st
         for lang in list(held):
             empty(lang)
         for lang, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(range(dim), pa.int32()), pa.array(total)], names=["lang", "i", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (dim + 1)), pa.array(range(dim + 1), pa.int32()), pa.array(total)], names=["lang", "i", "x"])
 
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     summed = rows.mapInArrow(run, "lang string, i int, x double").groupBy("lang", "i").agg(F.sum("x").alias("x"))
-    vectors = summed.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
-    model, room = {}, MODEL_BYTES
-    for row in vectors.toLocalIterator():
-        room -= 8 * dim
-        if room < 0:
-            raise ValueError("more labels than a language model may hold")
-        model[row["lang"]] = np.array(row["v"])
-    return model
+    every = summed.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
+    return materialize(every.select("lang", F.slice("v", 1, dim).alias("v"), F.get("v", F.lit(dim)).alias("n")), "language-profiles")
 
 
-def identify_language(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), dim: int = DIM, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``keep`` columns plus lang_pred and score (named by ``out``), the cosine (0 where negative).
+def expected_cosine(n: np.ndarray | float, prototype: np.ndarray, n_prototype: float) -> np.ndarray | float:
+    """The cosine that a text of n trigrams drawn from a language has with its prototype.
 
-    Without a letter (null and empty texts too) or without a model a text is
-    ``und`` with score 0.  Equal cosines give the language that sorts first.
-    Every row comes back; columns not named in ``keep`` are not read.
+    With s the chance that two trigrams of the language are the same, n of them
+    bundle to a squared length of n + n^2 s (times the dimension), of which n^2 s
+    lies along the prototype.
     """
-    langs = sorted(model)
-    unit = np.stack([model[x] / (np.linalg.norm(model[x]) or 1) for x in langs]) if langs else np.zeros((0, dim))
+    s = max(0.0, (prototype @ prototype / len(prototype) - n_prototype) / max(1.0, n_prototype * (n_prototype - 1)))
+    return np.sqrt(n * s / (1 + n * s))
 
-    def run(batches):
-        vectors = Vectors(dim)
-        for batch in batches:
-            names, scores = [], []
-            for value in batch.column(len(keep)):
-                found = trigrams(value.as_py())
-                if found is None or not langs:
-                    names.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                v = vectors.bundle(*found)
-                cos = unit @ v / (np.linalg.norm(v) or 1)
-                best = int(np.argmax(cos))
-                names.append(langs[best])
-                scores.append(float(min(1.0, max(0.0, cos[best]))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *out])
 
-    fields = [*(docs.schema[c] for c in keep), T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())]
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, T.StructType(fields))
+def _pieces(model: DataFrame, dim: int, model_bytes: int):
+    """The prototypes in the order of their names, as many at a time as ``model_bytes`` hold."""
+    names, vectors, sizes = [], [], []
+    for row in model.sort("lang").toLocalIterator():
+        names.append(row["lang"])
+        vectors.append(np.array(row["v"]))
+        sizes.append(row["n"])
+        if len(names) * 8 * dim >= model_bytes:
+            yield names, np.stack(vectors), sizes
+            names, vectors, sizes = [], [], []
+    if names:
+        yield names, np.stack(vectors), sizes
+
+
+def identify_language(docs: DataFrame, model: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), dim: int = DIM, out: tuple[str, str, str] = ("lang_pred", "score", "expected"), model_bytes: int = MODEL_BYTES) -> DataFrame:
+    """``keep`` columns plus, named by ``out``, the language predicted, the cosine
+    with its prototype (0 where negative) and the cosine that a text of this
+    length in that language is expected to have.
+
+    Without a letter (null and empty texts too) or without a model a text is
+    ``und`` with score 0.  Equal cosines give the language that sorts first.
+    Texts are read whole; every row comes back, repeated ones alike; columns not
+    named in ``keep`` are not read.  A model of more than ``model_bytes`` is
+    compared piece by piece, in as many passes.
+    """
+    fields = [*(docs.schema[c] for c in keep), T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType()), T.StructField(out[2], T.DoubleType())]
+    best = [T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType()), T.StructField("__expected", T.DoubleType())]
+    text = T.StructField("__text", T.StringType())
+    rows = docs.select(*keep, F.col(text_col).alias("__text"), F.lit(UNDETERMINED).alias("__lang"), F.lit(-2.0).alias("__score"), F.lit(0.0).alias("__expected"))
+    for names, vectors, sizes in _pieces(model, dim, model_bytes):
+        length = np.linalg.norm(vectors, axis=1)
+        unit = vectors / np.where(length > 0, length, 1)[:, None]
+
+        def run(batches, names=names, vectors=vectors, sizes=sizes, unit=unit):
+            made = Vectors(dim)
+            for batch in batches:
+                columns = [batch.column(i) for i in range(len(keep) + 1)]
+                told = [list(batch.column(len(keep) + i).to_pylist()) for i in (1, 2, 3)]
+                for i, value in enumerate(columns[-1]):
+                    found = trigrams(value.as_py())
+                    if found is None:
+                        continue
+                    v = made.bundle(*found)
+                    cos = unit @ v / (np.linalg.norm(v) or 1)
+                    at = int(np.argmax(cos))
+                    if cos[at] > told[1][i]:
+                        told[0][i], told[1][i], told[2][i] = names[at], float(cos[at]), float(expected_cosine(float(found[1].sum()), vectors[at], sizes[at]))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(told[0], pa.string()), pa.array(told[1], pa.float64()), pa.array(told[2], pa.float64())], names=[*keep, "__text", "__lang", "__score", "__expected"])
+
+        rows = rows.mapInArrow(run, T.StructType([*fields[: len(keep)], text, *best]))
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("__score")))
+    return rows.select(*keep, F.col("__lang").alias(out[0]), score.alias(out[1]), F.col("__expected").alias(out[2]))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, lang_pred, score; learned from the documents not held out."""
+    """doc_id, held_out, lang_pred, score, expected; learned from the documents not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = fit_language_profiles(docs.where(~held))
-    return identify_language(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return identify_language(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "expected")
