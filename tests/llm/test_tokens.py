@@ -6,7 +6,7 @@ import pytest
 import tokenizers
 from cases import EDGE, LONG, frame
 
-from vectrove.llm.bpe import bpe_decode, bpe_encode, load_encoding, safe_pieces
+from vectrove.llm.bpe import PIECE_CHARS, bpe_decode, bpe_encode, encode_text, load_encoding, safe_pieces
 from vectrove.llm.token_counts import SAME_SPLIT_BELOW, PreTokenizer, token_counts
 
 
@@ -52,7 +52,27 @@ def test_round_trip_and_empty_table(spark):
 
 def test_pieces_are_cut_at_boundaries_of_the_pattern():
     enc = load_encoding()
-    for text in (LONG, "x" * 5000, "a b\n\n  c " * 900, "é " * 4000, " \n" * 3000, "日本 " * 2000 + "end of it"):
+    for text in (LONG, "x" * 5000, "a b\n\n  c " * 900, "é " * 4000, " \n" * 3000, "日本 " * 2000 + "end of it", "これは、文です。次の文！" * 900, "привет, мир 12 " * 900, "it's 'tis we'll 'S\u00a0x\u2003y\u200b z" * 400, "中文。’s “q” ，a" * 700):
         pieces = safe_pieces(text, 100)
         assert "".join(pieces) == text
         assert [i for p in pieces for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+
+
+def test_long_texts_of_all_scripts_are_cut_in_linear_time():
+    import time
+
+    made = {"cyrillic": "Съешь ещё этих мягких французских булок, да выпей чаю. ", "japanese": "吾輩は猫である。名前はまだ無い、どこで生れたか。", "no newline": "plain words only "}
+    for name, unit in made.items():
+        took = []
+        for size in (1_250_000, 5_000_000):
+            text = unit * (size // len(unit))
+            began = time.perf_counter()
+            pieces = safe_pieces(text)
+            took.append(time.perf_counter() - began)
+            assert "".join(pieces) == text and max(map(len, pieces)) < PIECE_CHARS + 100, name
+        assert took[1] < 16 * max(took[0], 1e-3), name
+    assert safe_pieces("x" * 5_000_000) == ["x" * 5_000_000]
+    enc = load_encoding()
+    text = made["japanese"] * 8000
+    assert encode_text(enc, text).tolist() == enc.encode_ordinary(text)
+    assert encode_text(enc, "x" * 300_000).tolist() == enc.encode_ordinary("x" * 300_000)
