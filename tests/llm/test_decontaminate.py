@@ -92,3 +92,48 @@ def test_items_in_blocks_and_empty_tables(spark):
     assert find_contamination(docs, bench(spark, [])).count() == 0
     assert decontaminate(docs, bench(spark, [])).count() == 30
     assert find_contamination(frame(spark, [(1, "just one")]), bench(spark, [(1, "one")])).count() == 1
+
+
+def edited(words, edits, kind, r):
+    """``edits`` edits of one kind, evenly spread or in the first third."""
+    w, third = list(words), r.random() < 0.5
+    for i in range(edits):
+        at = r.randrange(max(1, len(w) // 3)) if third else (len(w) * i // edits + r.randrange(3)) % len(w)
+        if kind == "change":
+            w[at] = "changed"
+        elif kind == "insert":
+            w.insert(at, "extra")
+        else:
+            w.pop(at)
+    return w
+
+
+def test_recall_of_items_of_all_sizes_under_each_kind_of_edit():
+    r = random.Random(4)
+    sizes = (10, 24, 48, 49, 100, 200, 400)
+    bank = [(i, " ".join(f"w{r.randrange(3000)}" for _ in range(sizes[i % len(sizes)]))) for i in range(70)]
+    m, wanted, caught = Matcher(bank), {n: 0 for n in sizes}, {n: 0 for n in sizes}
+    for kind in ("change", "insert", "drop"):
+        docs = [["start"] * 5 + edited(t.split(), m.edits(len(t.split())), kind, r) + ["end"] * 5 for _, t in bank]
+        for k, (doc, hits) in enumerate(zip(docs, m.matches(docs))):
+            n = sizes[k % len(sizes)]
+            if brute_distance(m.items[k][1], [m.vocabulary.get(w, 0) for w in doc]) <= m.edits(n):
+                wanted[n] += 1
+                caught[n] += k in [h[0] for h in hits]
+    assert sum(wanted.values()) > 200 and all(caught[n] >= 0.96 * wanted[n] for n in sizes), (wanted, caught)
+
+
+def test_all_matches_and_nothing_else():
+    """Every (document, item) pair against the distance of every span."""
+    r, bank = random.Random(12), items(24)
+    m = Matcher(bank)
+    docs = []
+    for i in range(100):
+        words = prose(900 + i, r.randint(0, 40)).split()
+        for k in r.sample(range(24), r.randint(0, 2)):
+            t = words_of(bank[k][1])
+            words += changed(t, r.randint(0, m.edits(len(t)) + 1), r) + prose(i * 7 + k, r.randint(0, 20)).split()
+        docs.append(words_of(" ".join(words)))
+    want = {(i, k) for i, doc in enumerate(docs) for k, (_, t) in enumerate(bank) if brute_distance(words_of(t), doc) <= m.edits(len(words_of(t)))}
+    found = {(i, h[0]) for i, hits in enumerate(m.matches(docs)) for h in hits}
+    assert found <= want and len(found) >= 0.97 * len(want) and len(want) > 40

@@ -4,17 +4,24 @@ Items and documents are sequences of words (runs of letters and digits, in
 lower case).  An item of n words is found where a span of the document is
 within ``max_share`` * n word edits of it.
 
-* Item-sized windows start at every word.  An edit spoils two word pairs at the
-  most, so a window of n words can only match an item of that size if it holds
-  n - 1 - 2d word pairs of such items; the others are dropped and lose no match.
+* An item of more than PIECE_WORDS words is looked for by pieces: of the edits
+  that it may have, some piece has no more than its own share, as the pieces'
+  shares add up to the item's.  Shorter items are one piece.
+* Windows of a piece's size start at every word.  An edit spoils two word pairs at
+  the most, so a window of n words can only match a piece of that size if it holds
+  n - 1 - 2d word pairs of such pieces; the others are dropped and lose no match.
 * CGK embedding (Chakraborty, Goldenberg, Koucky, STOC 2016): a random walk
   reads the window, at each step stays or moves on by a random bit of the step
   and the word, and writes the word it is on.  Sequences at a small edit
   distance come out at a small Hamming distance.
 * Bit-sampling LSH: tables of a few sampled places of the output, over several
-  walks, as many as the target recall takes; equal samples make a candidate.
-* Candidates are verified by exact edit distance (bit-parallel, free ends in the
-  document around the window).
+  walks; equal samples make a candidate.  Their number follows from the recall
+  aimed at if matches agree on a share AGREE of the output.  Insertions and
+  deletions early in a window agree on less (0.14 on average at the threshold for
+  40 words), which the windows around a match make up for: the tests measure the
+  recall of items of 10 to 400 words under each kind of edit.
+* Candidates are verified by exact edit distance of the whole item (bit-parallel,
+  free ends in the document around the window).
 """
 
 from __future__ import annotations
@@ -31,8 +38,10 @@ from pyspark.sql import types as T
 
 from vectrove.llm._common import table
 
-#: Edits per item word; recall aimed at; share of output places on which a match agrees at the least; places to a sample; walks.
+#: Edits per item word; recall aimed at; share of output places on which a match is taken to agree; places to a sample; walks.
 MAX_SHARE, RECALL, AGREE, PLACES, WALKS = 0.2, 0.999, 0.35, 2, 8
+#: Words of the largest piece of an item.
+PIECE_WORDS = 48
 #: Bytes of items that one pass over the documents holds; larger benchmarks take more passes.
 BLOCK_BYTES = 16 << 20
 #: Documents whose words stand in one array.
@@ -89,6 +98,12 @@ def edit_distance(pattern: list[int], text: list[int]) -> tuple[int, int]:
     return best, end
 
 
+def _cuts(n: int) -> list[tuple[int, int]]:
+    """Bounds of the fewest nearly equal pieces of n words that hold PIECE_WORDS words or fewer."""
+    many = -(-n // PIECE_WORDS)
+    return [(n * i // many, n * (i + 1) // many) for i in range(many)]
+
+
 class Matcher:
     """A block of benchmark items, ready to be looked for."""
 
@@ -103,20 +118,22 @@ class Matcher:
                 self.items.append((item_id, words))
         self.share = max_share
         self._sampled: dict[tuple[int, int], np.ndarray] = {}
+        # Pieces: (item, its first word in the item, words); those of an item differ by a word in size.
+        self.probes = [(k, a, words[a:b]) for k, (_, words) in enumerate(self.items) for a, b in _cuts(len(words))]
         self.by_size: dict[int, list[int]] = {}
-        for k, (_, words) in enumerate(self.items):
-            self.by_size.setdefault(len(words), []).append(k)
+        for p, (_, _, words) in enumerate(self.probes):
+            self.by_size.setdefault(len(words), []).append(p)
         # Word pairs of the benchmark and, for each, the item sizes it occurs in (a one-word item is its word and no second one).
         width = len(self.vocabulary) + 1
-        pairs = {(len(w), x * width + y) for _, w in self.items for x, y in (zip(w, w[1:]) if len(w) > 1 else [(w[0], 0)])}
+        pairs = {(len(w), x * width + y) for _, _, w in self.probes for x, y in (zip(w, w[1:]) if len(w) > 1 else [(w[0], 0)])}
         listed = sorted((code, n) for n, code in pairs)
         codes, self.pair_sizes = np.array([c for c, _ in listed], np.int64), np.array([n for _, n in listed], np.int64)
         # The distinct pairs of the items of a size, and the fewest that one of them has.
         self.pairs_of = {n: codes[self.pair_sizes == n] for n in self.by_size}
-        self.fewest = {n: min(len(set(zip(w, w[1:]))) if n > 1 else 1 for w in (self.items[k][1] for k in ks)) for n, ks in self.by_size.items()}
+        self.fewest = {n: min(len(set(zip(w, w[1:]))) if n > 1 else 1 for w in (self.probes[k][2] for k in ks)) for n, ks in self.by_size.items()}
         self.pairs, self.pair_at = np.unique(codes, return_index=True)
         self.pair_at = np.append(self.pair_at, len(codes))
-        # A table finds a match with probability AGREE ** PLACES at the least.
+        # A table finds a match with probability AGREE ** PLACES.
         tables = math.ceil(math.log(1 - recall) / math.log(1 - AGREE**PLACES))
         self.per_walk = -(-tables // WALKS)
         self.tables = {n: self._tables(n, ks) for n, ks in self.by_size.items()}
@@ -130,7 +147,7 @@ class Matcher:
         return self._sampled[n, walk]
 
     def _tables(self, n: int, ks: list[int]) -> list[dict[tuple[int, ...], list[int]]]:
-        rows, out = np.array([self.items[k][1] for k in ks], np.int64), []
+        rows, out = np.array([self.probes[k][2] for k in ks], np.int64), []
         for walk in range(WALKS):
             embedded = cgk_walk(rows, walk, 2 * n)
             for places in self._samples(n, walk):
@@ -141,7 +158,7 @@ class Matcher:
         return out
 
     def candidates(self, flat: np.ndarray):
-        """(item, window starts) for windows of ``flat`` (0: no word of the benchmark) that share a sample with an item."""
+        """(piece, window starts) for windows of ``flat`` (0: no word of the benchmark) that share a sample with an item."""
         longest = max(self.by_size, default=0)
         known = np.concatenate([flat, np.zeros(longest + 1, flat.dtype)])
         for n, starts in self._windows(flat, known):
@@ -199,7 +216,7 @@ class Matcher:
 
     def matches(self, docs: list[list[str]]) -> list[list[tuple[int, int, int, int]]]:
         """Per document (its words): (item, first word, end word, edits) of every item found, its first best place."""
-        longest = max(self.by_size, default=0)
+        longest = max((len(words) for _, words in self.items), default=0)
         get, gap = self.vocabulary.get, [0] * (longest + 1)
         ids: list[int] = []
         bounds = []
@@ -211,23 +228,33 @@ class Matcher:
         flat = np.array(ids, np.int64)
         ends = np.array([b for _, b in bounds])
         out: list[list[tuple[int, int, int, int]]] = [[] for _ in docs]
-        for k, starts in self.candidates(flat) if len(flat) else ():
-            pattern = self.items[k][1]
+        # Where an item may begin: a window's start less the place of its piece in the item.
+        places: dict[int, list[int]] = {}
+        for p, found in self.candidates(flat) if len(flat) else ():
+            k, offset, _ = self.probes[p]
+            places.setdefault(k, []).extend(at - offset for at in found)
+        for k, starts in places.items():
+            pattern, starts = self.items[k][1], sorted(set(starts))
             n, d = len(pattern), self.edits(len(pattern))
+            slack = d if n <= PIECE_WORDS else 2 * d  # edits before a piece move it by as many words
             best: dict[int, tuple[int, int, int]] = {}
             lo = 0
             while lo < len(starts):
                 hi = lo + 1
                 while hi < len(starts) and starts[hi] - starts[hi - 1] <= n and starts[hi] - starts[lo] < 8 * n:
                     hi += 1
-                doc = int(np.searchsorted(ends, starts[lo], side="right"))
-                first, end = bounds[doc] if doc < len(bounds) else (0, 0)
-                a, b = max(first, starts[lo] - d), min(end, starts[hi - 1] + n + d)
-                if a < b:
-                    edits, stop = edit_distance(pattern, ids[a:b])
-                    if edits <= d and (doc not in best or edits < best[doc][0]):
-                        back = edit_distance(pattern[::-1], ids[a : a + stop][::-1])[1]
-                        best[doc] = (edits, a + stop - back - first, a + stop - first)
+                low, high = starts[lo] - slack, starts[hi - 1] + n + slack
+                # The documents that the places reach into: one, but for places before a document's first word.
+                for doc in range(int(np.searchsorted(ends, low, side="right")), len(bounds)):
+                    first, end = bounds[doc]
+                    a, b = max(first, low), min(end, high)
+                    if first >= high:
+                        break
+                    if a < b:
+                        edits, stop = edit_distance(pattern, ids[a:b])
+                        if edits <= d and (doc not in best or edits < best[doc][0]):
+                            back = edit_distance(pattern[::-1], ids[a : a + stop][::-1])[1]
+                            best[doc] = (edits, a + stop - back - first, a + stop - first)
                 lo = hi
             for doc, (edits, a, b) in best.items():
                 out[doc].append((k, a, b, edits))
