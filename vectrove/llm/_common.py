@@ -87,5 +87,24 @@ def _drop_rest() -> None:
             return
 
 
+def give_back(run):
+    """``run`` for mapInArrow that, when a task ends, returns to the system what
+    Arrow and the C library hold free: a worker serves many tasks and operators."""
+
+    def trimmed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow
+
+            pyarrow.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+                trim(0)
+
+    return trimmed
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectrove.llm._common import materialize, table
+from vectrove.llm._common import give_back, materialize, table
 
 #: Length of a vector, and how many trigram vectors a worker keeps.
 DIM, KEPT_VECTORS = 1024, 1 << 14
@@ -127,7 +127,7 @@ def fit_language_profiles(train: DataFrame, text_col: str = "text", lang_col: st
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (dim + 1)), pa.array(range(dim + 1), pa.int32()), pa.array(total)], names=["lang", "i", "x"])
 
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    summed = rows.mapInArrow(run, "lang string, i int, x double").groupBy("lang", "i").agg(F.sum("x").alias("x"))
+    summed = rows.mapInArrow(give_back(run), "lang string, i int, x double").groupBy("lang", "i").agg(F.sum("x").alias("x"))
     every = summed.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
     return materialize(every.select("lang", F.slice("v", 1, dim).alias("v"), F.get("v", F.lit(dim)).alias("n")), "language-profiles")
 
@@ -168,31 +168,35 @@ def identify_language(docs: DataFrame, model: DataFrame, text_col: str = "text",
     named in ``keep`` are not read.  A model of more than ``model_bytes`` is
     compared piece by piece, in as many passes.
     """
-    fields = [*(docs.schema[c] for c in keep), T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType()), T.StructField(out[2], T.DoubleType())]
-    best = [T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType()), T.StructField("__expected", T.DoubleType())]
-    text = T.StructField("__text", T.StringType())
-    rows = docs.select(*keep, F.col(text_col).alias("__text"), F.lit(UNDETERMINED).alias("__lang"), F.lit(-2.0).alias("__score"), F.lit(0.0).alias("__expected"))
-    for names, vectors, sizes in _pieces(model, dim, model_bytes):
+    told = [T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType()), T.StructField("__expected", T.DoubleType())]
+    kept = [docs.schema[c] for c in keep]
+    rows = docs.select(*keep, F.lit(UNDETERMINED).alias("__lang"), F.lit(-2.0).alias("__score"), F.lit(0.0).alias("__expected"), F.col(text_col).alias("__text"))
+    pieces = _pieces(model, dim, model_bytes)
+    now = next(pieces, None)
+    while now is not None:
+        names, vectors, sizes = now
+        now = next(pieces, None)
         length = np.linalg.norm(vectors, axis=1)
         unit = vectors / np.where(length > 0, length, 1)[:, None]
+        n_out = len(keep) + 3 + (now is not None)  # texts go on while there are prototypes left
 
-        def run(batches, names=names, vectors=vectors, sizes=sizes, unit=unit):
+        def run(batches, names=names, vectors=vectors, sizes=sizes, unit=unit, n_out=n_out):
             made = Vectors(dim)
             for batch in batches:
-                columns = [batch.column(i) for i in range(len(keep) + 1)]
-                told = [list(batch.column(len(keep) + i).to_pylist()) for i in (1, 2, 3)]
-                for i, value in enumerate(columns[-1]):
+                best = [batch.column(len(keep) + i).to_pylist() for i in range(3)]
+                for i, value in enumerate(batch.column(len(keep) + 3)):
                     found = trigrams(value.as_py())
                     if found is None:
                         continue
                     v = made.bundle(*found)
                     cos = unit @ v / (np.linalg.norm(v) or 1)
                     at = int(np.argmax(cos))
-                    if cos[at] > told[1][i]:
-                        told[0][i], told[1][i], told[2][i] = names[at], float(cos[at]), float(expected_cosine(float(found[1].sum()), vectors[at], sizes[at]))
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(told[0], pa.string()), pa.array(told[1], pa.float64()), pa.array(told[2], pa.float64())], names=[*keep, "__text", "__lang", "__score", "__expected"])
+                    if cos[at] > best[1][i]:
+                        best[0][i], best[1][i], best[2][i] = names[at], float(cos[at]), float(expected_cosine(float(found[1].sum()), vectors[at], sizes[at]))
+                columns = [*batch.columns[: len(keep)], *(pa.array(x, k) for x, k in zip(best, (pa.string(), pa.float64(), pa.float64()))), batch.column(len(keep) + 3)]
+                yield pa.RecordBatch.from_arrays(columns[:n_out], names=batch.schema.names[:n_out])
 
-        rows = rows.mapInArrow(run, T.StructType([*fields[: len(keep)], text, *best]))
+        rows = rows.mapInArrow(give_back(run), T.StructType([*kept, *told, T.StructField("__text", T.StringType())][:n_out]))
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("__score")))
     return rows.select(*keep, F.col("__lang").alias(out[0]), score.alias(out[1]), F.col("__expected").alias(out[2]))
 
