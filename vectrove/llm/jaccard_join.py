@@ -48,7 +48,7 @@ from vectrove.llm._packed import pack, pack_keys, unpack, unpack_keys
 #: Sets in a block of a candidate group, and their shingles.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 #: Shingles to a chunk of documents (a longer text is one by itself), and characters of text to each part of the counts.
-CHUNK_SHINGLES, PART_CHARS = 1 << 20, 1 << 24
+CHUNK_SHINGLES, PART_CHARS = 1 << 20, 1 << 23
 #: The weight of a long list's look-up in the cost formula, and candidates looked up at once.
 MU, AT_ONCE = 0.0085, 32
 
