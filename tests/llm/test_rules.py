@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from vectrove.llm.language import Vectors, _letter_vector, _trigram_vector, fit_language_profiles, identify_language, trigrams
 from vectrove.llm.lm_score import cross_entropy_difference, fit_models, losses, mark_targets, slots
-from vectrove.llm.quality import quality_cascade
+from vectrove.llm._common import materialize
+from vectrove.llm.quality import Rule, default_rules, order_rules, quality_cascade
 from vectrove.llm.secrets import base_spans, marginal_bytes, novel_spans, secret_scan, written
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -37,6 +38,27 @@ def test_quality_replaces_clashing_columns_and_bears_no_rows(spark):
     assert quality_cascade(frame(spark, [])).count() == 0
 
 
+def test_rules_are_ordered_by_rejections_per_cost_and_stop_at_the_first(spark):
+    rows = [(i, "few words") for i in range(150)] + [(1000 + i, prose(i, 80)) for i in range(30)]
+    docs = frame(spark, rows, clash=False)
+    dear = Rule("dear", F.length(F.regexp_replace(F.repeat("__text", 300), "(a|b)+c?", "")) < 0)
+    cheap = Rule("cheap", F.col("n_words") < 50)
+    assert [r.name for r in order_rules(docs, [dear, cheap])] == ["cheap", "dear"]
+    # A rule further back is not evaluated for a text that is rejected.
+    trap = Rule("trap", F.when(F.col("n_words") < 50, F.raise_error(F.lit("evaluated")).cast("boolean")).otherwise(False))
+    with_trap = quality_cascade(docs.where("doc_id < 1000"), rules=[cheap, trap], sample_rows=0)
+    assert with_trap.where("failed_rule = 'cheap'").count() == 150
+    assert order_rules(frame(spark, []), [dear, cheap]) == [dear, cheap]
+
+
+def test_the_sample_reads_few_rows_whatever_the_partitions(spark):
+    docs = frame(spark, [(i, prose(i, 60)) for i in range(4000)], clash=False).repartition(40).select("text")
+    docs = materialize(docs, "sample-test")
+    plan = docs.select("text").limit(20)._jdf.queryExecution().executedPlan().toString()
+    assert "CollectLimit" in plan  # Spark takes partition after partition until it has the rows
+    assert [r.name for r in order_rules(docs, default_rules(), sample_rows=20)]
+
+
 def test_quality_runs_no_python(spark):
     plan = quality_cascade(frame(spark, EDGE[:2]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "MapInArrow" not in plan

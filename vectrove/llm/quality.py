@@ -1,10 +1,12 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
 Every rule is a Column that is true where a text fails it.  On a bounded sample
-(``sample_rows`` rows, used for the order alone) each rule is timed and its
-rejections are counted; rules then run in the order of rejections per second,
-and a ``CASE`` stops at the first one that rejects a text.  The order never
-changes a verdict, only what it costs.
+(``sample_rows`` rows, used for the order alone) each rule is timed from the raw
+text and its rejections are counted; rules then run in the order of rejections
+per second, and a ``CASE`` stops at the first one that rejects a text.  Features
+that are reported are computed for every text; those of a single rule only where
+no rule before it has rejected the text.  The order never changes a verdict, only
+what it costs.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from vectrove.llm._common import WORD_SPACES, table, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
+#: Rows of the sample that decides the order, and runs of each rule over it.
+SAMPLE_ROWS, REPEATS = 500, 2
 
 
 @dataclass(frozen=True)
@@ -38,6 +42,8 @@ def default_rules() -> list[Rule]:
         Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 20 * n)),
         Rule("duplicate_lines", 10 * F.col("n_dup_lines") > 5 * F.col("__n_lines")),
         Rule("few_letters", 2 * F.length(F.regexp_replace("__text", r"[^\p{L}]+", "")) < F.col("word_chars")),
+        Rule("digits", 2 * F.length(F.regexp_replace("__text", "[^0-9]+", "")) > F.col("word_chars")),
+        Rule("capitals", 10 * F.length(F.regexp_replace("__text", "[^A-Z]+", "")) > 8 * F.col("word_chars")),
     ]
 
 
@@ -89,37 +95,46 @@ def quality_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.drop("__w", "__l", "__h", "__s", "__p")
 
 
-def order_rules(features: DataFrame, rules: list[Rule], sample_rows: int = 1000) -> list[Rule]:
+def order_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS, repeats: int = REPEATS) -> list[Rule]:
     """Rules by rejections per second on the first ``sample_rows`` rows, most first.
 
-    A single aggregation over the cached sample per rule gives its rejections
-    and the time it took; ties keep the order given.
+    Each rule is run from the raw text, with the features that it alone needs, and
+    brings back a boolean a row; Spark reads partition after partition only until
+    it has the rows.  Its cost is the least of some runs, less that of reading the
+    rows.  Ties keep the order given.
     """
-    sample = features.limit(sample_rows).cache()
-    try:
-        if not sample.count():
-            return rules
-        gain = []
-        for rule in rules:
+    raw = docs.select(F.col(text_col).alias("text"))
+
+    def timed(rows: DataFrame) -> tuple[float, int]:
+        took = []
+        for _ in range(repeats):
             began = time.perf_counter()
-            rejected = sample.agg(F.sum(F.coalesce(rule.fails, F.lit(False)).cast("int"))).first()[0]
-            gain.append((rejected or 0) / (time.perf_counter() - began))
-    finally:
-        sample.unpersist()
+            rejected = sum(r[0] for r in rows.limit(sample_rows).collect())
+            took.append(time.perf_counter() - began)
+        return min(took), rejected
+
+    read, found = timed(raw.select((F.length("text") >= 0).cast("int").alias("x")).select(F.coalesce("x", F.lit(0))))
+    if not found:
+        return rules
+    features, gain = quality_features(raw), []
+    for rule in rules:
+        took, rejected = timed(features.select(F.coalesce(rule.fails, F.lit(False)).cast("int")))
+        gain.append(rejected / max(took - read, 1e-3))
     return [rules[i] for i in sorted(range(len(rules)), key=lambda i: -gain[i])]
 
 
-def quality_cascade(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None, sample_rows: int = 1000) -> DataFrame:
+def quality_cascade(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` plus the features, ``failed_rule`` (the first that rejected the
     row; null if none did), ``base_failed`` and ``kept``.
 
-    Every row comes back, repeated ones included.  A null or empty text has no
-    words and fails.  Columns of ``docs`` named like an added one are replaced.
+    Every row comes back, repeated ones and null ids included.  A null or empty
+    text has no words and fails; texts are read whole.  Columns of ``docs`` named
+    like an added one are replaced.  Ties in the order of rules keep that given.
     """
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed_rule", "base_failed", "kept")
     features = quality_features(docs.drop(*(c for c in added if c != text_col)), text_col)
     rules = rules or default_rules()
-    ordered = order_rules(features, rules, sample_rows)
+    ordered = order_rules(docs, rules, text_col, sample_rows)
     cascade = F.when(F.coalesce(ordered[0].fails, F.lit(False)), F.lit(ordered[0].name))
     for rule in ordered[1:]:
         cascade = cascade.when(F.coalesce(rule.fails, F.lit(False)), F.lit(rule.name))
@@ -148,11 +163,12 @@ f AS (
   SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
          CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
-         len(l) AS n_lines, length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS letters
+         len(l) AS n_lines, length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS letters,
+         length(regexp_replace(t, '[^0-9]+', '', 'g')) AS digits, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS capitals
   FROM s LEFT JOIN c USING (rid)),
 b AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-            OR 10 * n_dup_lines > 5 * n_lines OR 2 * letters < word_chars) AS kept
+            OR 10 * n_dup_lines > 5 * n_lines OR 2 * letters < word_chars OR 2 * digits > word_chars OR 10 * capitals > 8 * word_chars) AS kept
 FROM b
 """
