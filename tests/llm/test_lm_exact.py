@@ -12,14 +12,14 @@ def brute(rows, good):
     """(doc_id, n_tokens, losses rounded) by plain counting of words and pairs."""
     texts = [(i, (t or "").encode().lower().split()) for i, t in rows]
     sides = []
-    for keep in (lambda i: i in good, lambda i: True):
+    for keep in (lambda i: i in good, lambda i: i not in good):
         words, pairs = Counter(), Counter()
         for i, w in texts:
             if keep(i):
                 words.update(w)
                 pairs.update(zip(w, w[1:]))
         sides.append((words, pairs))
-    vocabulary, out = len(sides[1][0]), []
+    vocabulary, out = len({x for _, w in texts for x in w}), []
     for i, w in texts:
         row = [i, len(w)]
         for words, pairs in sides:

@@ -339,8 +339,9 @@ def _score(n_words: int, totals: tuple[int, int]):
         pairs, place, at = _pairs_of(keys, tokens, lens)
         counts = lambda name: np.concatenate([np.zeros(0, np.int64), *(unpack(r[name]) for r in answers)])
         loss = []
-        for side, total in zip(("target", "all"), totals):
-            one, both = counts(f"word_{side}"), counts(f"pair_{side}")
+        (one_target, both_target), (one_all, both_all) = ((counts(f"word_{side}"), counts(f"pair_{side}")) for side in ("target", "all"))
+        # The background is all other texts.
+        for one, both, total in ((one_target, both_target, totals[0]), (one_all - one_target, both_all - both_target, totals[1] - totals[0])):
             if len(one) != len(keys) or len(both) != len(pairs):
                 raise RuntimeError("a chunk of documents lacks counts it asked for")
             one = one[tokens].astype(np.float64)
@@ -378,7 +379,10 @@ def score_counted_texts(docs: DataFrame, text_col: str = "text", target_col: str
     """``keep`` columns plus n_tokens, target_loss, background_loss, score, under models of the texts of ``docs`` themselves.
 
     The target model counts the rows where ``target_col`` is true, the background
-    model all rows.  A text without words has no tokens and null losses and score.
+    model the others; both share the vocabulary of all rows.  A text without words
+    (null and empty ones too) has no tokens and null losses and score.  Texts are
+    read whole; repeated rows count each and come back each; an empty table gives
+    no rows; columns of ``docs`` that are not in ``keep`` are not read.
     """
     rows = docs.select(*keep, F.coalesce(F.col(target_col), F.lit(False)).alias("__good"), text_or_empty(text_col).alias("__text"))
     if parts is None:
@@ -402,7 +406,7 @@ def mark_targets(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> Dat
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score of every document;
-    the target is the documents labelled of good quality, the background all."""
+    the target is the documents labelled of good quality, the background the others."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return score_counted_texts(mark_targets(docs, good))
