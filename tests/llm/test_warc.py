@@ -7,6 +7,7 @@ import struct
 import pytest
 import zstandard
 
+from vectrove.llm import warc
 from vectrove.llm.warc import SKIPPABLE_MAGIC, parse_record, plan_records, read_archive, read_warc, record_bytes, write_archive, write_warc
 
 BIG = "<html>" + "same page " * 40 + "</html>"
@@ -41,6 +42,22 @@ def test_round_trip(spark, tmp_path, archive_bytes):
     assert sum(r.n_records for r in manifest.collect()) == len(ROWS)
 
 
+@pytest.mark.parametrize("change", [{"opens": lambda folder: False}, {"BROADCAST_DIGESTS": 0}])
+def test_other_file_systems_and_many_repeated_digests(spark, tmp_path, monkeypatch, change):
+    for name, value in change.items():
+        monkeypatch.setattr(warc, name, value)
+    rows = ROWS + [(100 + i, f"u{i}", "<p>" + "the parked page " * 10) for i in range(50)]
+    got = read_warc(write_warc(plan_records(pages(spark, rows)), f"{tmp_path}/other", 1 << 16)).collect()
+    assert sorted(((r.page_id is None, r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == brute(rows)
+    assert os.path.exists(f"{tmp_path}/other") == ("opens" not in change)
+
+
+def test_names_of_file_systems_and_of_records():
+    assert not warc.opens("unknown-scheme://host/folder")
+    ids = {record_bytes(1, "u", b"same", "d", "response", None).split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0] for _ in range(50)}
+    assert len(ids) == 50
+
+
 def test_no_pages(spark, tmp_path):
     assert read_warc(write_warc(plan_records(pages(spark, [])), f"{tmp_path}/none")).count() == 0
 

@@ -4,9 +4,15 @@ An archive file holds one dictionary, built from its own records, in a leading
 skippable frame; every record is one frame compressed with that dictionary, so
 a reader needs nothing but the file and can start at any record.
 
-Files go to the shared folder of the cluster.  A task writes under a name of
-its own and only the names that its committed output row lists are ever read,
-so a task that is lost and run again leaves a file that nothing refers to.
+Files go to a folder that all executors share; a query's own are deleted when
+its session ends, so archives that are to last are written to a folder of the
+caller's with ``write_warc``.  A task writes under a name of its own and only the
+names that its committed output row lists are ever read, so a task that is lost
+and run again leaves a file that nothing refers to.  On a file system that Python
+cannot open, archives are kept whole in a table that Spark writes.
+
+Payloads stay where they are read: digests that repeat are found by digests and
+ids alone, and sent to the pages.
 """
 
 from __future__ import annotations
@@ -20,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrove.llm._common import materialize, scratch_path, shuffle_partitions, table
+from vectrove.llm._common import give_back, materialize, scratch_path, shuffle_partitions, table
+from vectrove.llm._exchange import split_join
 
 # Fixed values of the formats: the skippable frame that holds a dictionary, a
 # Zstandard frame, and a trained dictionary.
@@ -31,6 +38,8 @@ MIN_REVISIT_BYTES = 100
 #: Bounds of an archive file (bytes of records before compression) and of its dictionary and the records it is trained on.
 ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES = 24 << 20, 64 << 10, 4 << 20
 LEVEL = 6
+#: Digests that repeat, up to which their table (about 100 bytes a row) is broadcast; beyond it only the most frequent ones are.
+BROADCAST_DIGESTS = 1 << 18
 #: Tasks that read archives, at most, for each of the session's shuffle partitions.
 TASKS_A_PARTITION = 16
 
@@ -41,17 +50,35 @@ def filesystem(path: str):
     """(file system, path) for a URI or a plain path, on the driver or an executor."""
     from pyarrow import fs
 
+    for scheme in ("s3a://", "s3n://"):  # names that Hadoop gives to what others call s3
+        path = "s3://" + path.removeprefix(scheme) if path.startswith(scheme) else path
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def opens(folder: str) -> bool:
+    """Whether Python can write to ``folder``; Spark's own file systems may be more."""
+    from pyarrow import lib
+
+    try:
+        fs, base = filesystem(folder)
+        fs.create_dir(base, recursive=True)
+    except (lib.ArrowException, OSError):
+        return False
+    return True
+
+
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, record_type: str, refers_to: int | None) -> bytes:
-    """One WARC 1.1 record. A revisit has the HTTP head alone; digest and length always describe the full payload."""
+    """One WARC 1.1 record. A revisit has the HTTP head alone; digest and length always describe the full payload.
+
+    The record's id is its own, as pages may repeat; the page's id has a field of
+    its own.  A revisit names the page it repeats, and by its digest the payload.
+    """
     block = _HTTP + (payload if record_type == "response" else b"")
     name = lambda i: f"<urn:page:{'' if i is None else i}>"
     uri = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-    head = ["WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Target-URI: {uri}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
+    head = ["WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"X-Page-ID: {name(page_id)}", f"WARC-Target-URI: {uri}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
     if record_type == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {name(refers_to)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -68,7 +95,7 @@ def parse_record(raw: bytes) -> dict:
     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
     if fields["WARC-Type"] == "response" and hashlib.sha256(payload).hexdigest() != digest:
         raise ValueError(f"payload of {fields['WARC-Record-ID']} does not match its digest")
-    return {"page_id": number(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"], "record_type": fields["WARC-Type"], "payload_digest": digest, "payload_bytes": int(fields["X-Payload-Length"]), "refers_to": number(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None, "payload": payload if fields["WARC-Type"] == "response" else None}
+    return {"page_id": number(fields["X-Page-ID"]), "url": fields["WARC-Target-URI"], "record_type": fields["WARC-Type"], "payload_digest": digest, "payload_bytes": int(fields["X-Payload-Length"]), "refers_to": number(fields["X-Refers-To-Page"]) if "X-Refers-To-Page" in fields else None, "payload": payload if fields["WARC-Type"] == "response" else None}
 
 
 def build_dictionary(records: list[bytes]) -> bytes:
@@ -138,7 +165,9 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Of equal payloads of ``min_bytes`` or more, the row with the smallest id is
     the response and the others revisit it.  Rows that repeat that smallest id
     with the same payload are responses too.  A null payload is an empty one; a
-    row without id can only be a revisit of one with, or a response.
+    row without id can only be a revisit of one with, or a response.  Payloads are
+    whole, whatever their length; repeated rows come back each; other columns are
+    not read; an empty table gives no rows.
     """
     def text(c: str) -> Column:
         return F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -147,28 +176,39 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256))
     large = F.length("payload") >= min_bytes
     # Of the groups, only those of two or more rows matter for the join; partial sums keep a hot payload from one task.
-    firsts = rows.where(large).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("payload_digest").alias("d"), "first")
-    joined = rows.join(firsts, (F.col("payload_digest") == F.col("d")) & large, "left")
+    firsts = rows.where(large).groupBy(F.col("payload_digest").alias("d")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = materialize(firsts, "warc-repeated")
+    n, total = firsts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # A digest of a short payload is never among them.
+    if n <= BROADCAST_DIGESTS:
+        joined = rows.join(F.broadcast(firsts), F.col("payload_digest") == F.col("d"), "left")
+    else:
+        joined = split_join(rows, firsts, [("payload_digest", "d")], "n", total, "left")
     revisit = F.col("first").isNotNull() & ~F.coalesce(F.col("page_id") == F.col("first"), F.lit(False))
     return joined.select("page_id", "url", "payload", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
 
 
 def write_warc(planned: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write archives under ``folder`` and return the table of those that count:
-    path, n_records, n_bytes.  A task holds one archive's records at a time."""
+    path, n_records, n_bytes, and content where Python cannot open the folder.  A
+    task holds one archive's records at a time."""
+    as_files = opens(folder)
 
     def run(batches):
-        fs, base = filesystem(folder)
-        fs.create_dir(base, recursive=True)
+        if as_files:
+            fs, base = filesystem(folder)
+            fs.create_dir(base, recursive=True)
         records, size = [], 0
 
         def close():
             name = f"{uuid.uuid4().hex}.warc.zst"
             out = io.BytesIO()
             write_archive(out, records)
-            with fs.open_output_stream(f"{base}/{name}", compression=None) as f:
-                f.write(out.getvalue())
-            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n_records": [len(records)], "n_bytes": [out.tell()]})
+            if as_files:
+                with fs.open_output_stream(f"{base}/{name}", compression=None) as f:
+                    f.write(out.getvalue())
+            made = {"path": [f"{folder}/{name}"], "n_records": [len(records)], "n_bytes": [out.tell()]}
+            return pa.RecordBatch.from_arrays([*map(pa.array, made.values()), pa.array([None if as_files else out.getvalue()], pa.binary())], names=[*made, "content"])
 
         for batch in batches:
             for row in zip(*(batch.column(i) for i in range(6))):
@@ -181,7 +221,7 @@ def write_warc(planned: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYT
         if records:
             yield close()
 
-    return materialize(planned.mapInArrow(run, "path string, n_records long, n_bytes long"), "warc-manifest")
+    return materialize(planned.mapInArrow(give_back(run), "path string, n_records long, n_bytes long, content binary"), "warc-manifest")
 
 
 _READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
@@ -193,10 +233,12 @@ def read_warc(manifest: DataFrame, payloads: bool = True) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                fs, name = filesystem(path)
-                with fs.open_input_stream(name, compression=None) as f:
-                    data = f.read()
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = content.as_py()
+                if data is None:
+                    fs, name = filesystem(path)
+                    with fs.open_input_stream(name, compression=None) as f:
+                        data = f.read()
                 rows, size = [], 0
                 for raw in read_archive(data):
                     row = parse_record(raw)
@@ -210,8 +252,8 @@ def read_warc(manifest: DataFrame, payloads: bool = True) -> DataFrame:
 
     # A number of its own, as the few bytes of a manifest would otherwise be merged into one task.
     tasks = max(1, min(manifest.count(), TASKS_A_PARTITION * shuffle_partitions(manifest.sparkSession)))
-    spread = manifest.select("path").repartition(tasks, "path")
-    return spread.mapInArrow(run, "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
+    spread = manifest.select("path", "content").repartition(tasks, "path")
+    return spread.mapInArrow(give_back(run), "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
