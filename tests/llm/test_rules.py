@@ -11,7 +11,7 @@ from vectrove.llm.language import Vectors, _letter_vector, _trigram_vector, fit_
 from vectrove.llm.lm_score import cross_entropy_difference, fit_models, losses, mark_targets, slots
 from vectrove.llm._common import materialize
 from vectrove.llm.quality import Rule, default_rules, order_rules, quality_cascade
-from vectrove.llm.secrets import base_spans, marginal_bytes, novel_spans, secret_scan, written
+from vectrove.llm.secrets import IDENTIFIERS, base_spans, corpus_identifiers, marginal_bytes, novel_spans, op4_secret_scan, secret_scan, written
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
@@ -103,6 +103,45 @@ def test_secret_scan_edges(spark):
     assert hashlib.sha256(b"").hexdigest() == hashlib.sha256(written([]).encode()).hexdigest()
 
 
+def test_op4_derives_its_columns(spark, tmp_path):
+    rows = [*EDGE, (60, "token: abcdef1 AKIA" + "B7" * 9 + " secret=" + "0a" * 13 + f" private credential {KEY} done"), (61, "no secrets"), (62, f"cookie {KEY} then api_key=abcdefgh")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op4_secret_scan(spark, str(tmp_path)).collect()}
+    for i, t in rows:
+        base, r = base_spans(t or ""), got[i]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for k, _, _ in base) for x in ("assign", "access", "hex"))
+        assert r.base_sha256 == hashlib.sha256(written(base).encode()).hexdigest()
+        every = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        assert [x for x in every if x[0] != "novel"] == base and [x[1] for x in every] == sorted(x[1] for x in every)
+        assert r.n_novel == len(every) - len(base)
+    assert (got[60].n_novel, got[62].n_novel, got[61].spans) == (1, 1, "")
+
+
+def test_the_dictionary_holds_the_corpus_own_identifiers(spark):
+    own = "zebraFlightPlanRegistryHandler"
+    rows = [(i, f"zebraFlightPlan RegistryHandler client_key: {own} then{i}") for i in range(4)]
+    docs = frame(spark, rows)
+    words = corpus_identifiers(docs)
+    assert words.startswith(("RegistryHandler", "client_key", "then", "zebraFlightPlan")) and words.endswith(IDENTIFIERS)
+    assert "then1" not in words and own not in words
+    bare = f"x client_key: {own}"
+    assert marginal_bytes(bare, 14, len(bare), words=words) < marginal_bytes(bare, 14, len(bare))
+    assert corpus_identifiers(frame(spark, [])) == IDENTIFIERS
+
+
+def test_many_spans_in_one_text_take_linear_time():
+    import time
+
+    took = []
+    for n in (2000, 8000):
+        text = "".join(f"token=abc{i}xyz0 key {'q' * 25}{i} " for i in range(n))
+        base, began = base_spans(text), time.perf_counter()
+        novel_spans(text, base)
+        took.append(time.perf_counter() - began)
+        assert len(base) == n
+    assert took[1] < 8 * took[0] + 0.5
+
+
 def language_rows():
     parts = {"aa": ["ka", "ri", "mo", "ten"], "bb": ["sch", "ung", "lich", "ver"], "cc": ["ção", "nh", "ei", "que"]}
     out = []

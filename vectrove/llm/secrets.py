@@ -3,21 +3,24 @@
 Fixed patterns find assignments, access keys and hex strings.  The method adds
 *novel* spans: an opaque-looking string in a sensitive context is compressed by
 Zstandard together with the code around it, the compressor primed with a
-dictionary of identifiers.  The bytes it costs beyond the context alone are its
+dictionary of identifiers: those that stand most often around such strings in the
+corpus itself, counted over all documents, and a short list of common ones.  The bytes it costs beyond the context alone are its
 marginal size, which is held against that of random strings of the same length
 and alphabet in its place: words, paths and identifiers cost less, keys as much.
 """
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 import string
+from bisect import bisect_left
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectrove.llm._common import table, text_or_empty
@@ -61,24 +64,32 @@ IDENTIFIERS = (
 IDENTIFIERS = IDENTIFIERS.upper().replace(" ", "_") + IDENTIFIERS.title().replace(" ", "") + IDENTIFIERS
 
 
-@lru_cache(maxsize=1)
-def _compressor():
+#: Identifiers of the corpus in the dictionary at most, and documents in which one has to stand.
+CORPUS_WORDS, MIN_DOCS = 4096, 3
+#: Shorter than any candidate, so that no candidate is a word of the dictionary.
+_IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,18}")
+
+
+@lru_cache(maxsize=2)
+def _compressor(words: str):
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+    dictionary = zstandard.ZstdCompressionDict(words.encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    dictionary.precompute_compress(level=3)
+    return zstandard.ZstdCompressor(level=3, dict_data=dictionary)
 
 
-def _size(text: str) -> int:
-    return len(_compressor().compress(text.encode("utf-8", "surrogatepass")))
+def _size(text: str, words: str = IDENTIFIERS) -> int:
+    return len(_compressor(words).compress(text.encode("utf-8", "surrogatepass")))
 
 
-def marginal_bytes(text: str, start: int, end: int, around: int = AROUND) -> int:
+def marginal_bytes(text: str, start: int, end: int, around: int = AROUND, words: str = IDENTIFIERS) -> int:
     """Compressed bytes that text[start:end] adds to the text on its two sides."""
     before, after = text[max(0, start - around) : start], text[end : end + around]
-    return _size(before + text[start:end] + after) - _size(before + after)
+    return _size(before + text[start:end] + after, words) - _size(before + after, words)
 
 
-def random_likeness(text: str, start: int, end: int) -> float:
+def random_likeness(text: str, start: int, end: int, words: str = IDENTIFIERS) -> float:
     """Marginal bytes of text[start:end] as a share of what random strings of its length and alphabet cost in its place."""
     word = text[start:end]
     used = set(word)
@@ -86,9 +97,9 @@ def random_likeness(text: str, start: int, end: int) -> float:
     symbols = sorted(next(a for a in ALPHABETS if used - signs <= a) | signs)
     r = random.Random(word)  # the same draws for the same string
     before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
-    none = _size(before + after)
-    drawn = sum(_size(before + "".join(r.choices(symbols, k=len(word))) + after) for _ in range(DRAWS)) / DRAWS
-    return (_size(before + word + after) - none) / max(drawn - none, 1)
+    none = _size(before + after, words)
+    drawn = sum(_size(before + "".join(r.choices(symbols, k=len(word))) + after, words) for _ in range(DRAWS)) / DRAWS
+    return (_size(before + word + after, words) - none) / max(drawn - none, 1)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -99,20 +110,57 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(spans, key=_order)
 
 
-def novel_spans(text: str, taken: list[tuple[str, int, int]], novelty: float = NOVELTY) -> list[tuple[str, int, int]]:
-    """Incompressible strings in a sensitive context that no base span overlaps."""
-    found = []
+def candidates(text: str):
+    """(start, end) of the opaque strings in a sensitive context."""
     for m in _OPAQUE.finditer(text):
-        start, end = m.span()
-        if not _SENSITIVE.search(text, max(0, start - NEAR), start):
+        if _SENSITIVE.search(text, max(0, m.start() - NEAR), m.start()):
+            yield m.span()
+
+
+def novel_spans(text: str, taken: list[tuple[str, int, int]], novelty: float = NOVELTY, words: str = IDENTIFIERS) -> list[tuple[str, int, int]]:
+    """Incompressible strings in a sensitive context that no base span (``taken``, by start) overlaps."""
+    found, starts, ends = [], [], []
+    for _, a, b in taken:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    for start, end in candidates(text):
+        before = bisect_left(starts, end) - 1  # the last base span that begins before the candidate's end
+        if before >= 0 and ends[before] > start:
             continue
-        if any(a < end and start < b for _, a, b in taken):
-            continue
-        if random_likeness(text, start, end) >= novelty:
+        if random_likeness(text, start, end, words) >= novelty:
             found.append(("novel", start, end))
     return found
 
 
+def corpus_identifiers(docs: DataFrame, text_col: str = "text", most: int = CORPUS_WORDS) -> str:
+    """The dictionary's words: the common list, after the up to ``most``
+    identifiers that stand near candidates in the most documents (MIN_DOCS at
+    least, ties by word), the most frequent ones last."""
+
+    def run(batches):
+        held: Counter = Counter()
+        for batch in batches:
+            for value in batch.column(0):
+                text, near = value.as_py(), set()
+                for start, end in candidates(text):
+                    for part in (text[max(0, start - AROUND) : start], text[end : end + AROUND]):
+                        near.update(_IDENTIFIER.findall(part))
+                held.update(near)
+            if len(held) > 1 << 17:
+                yield pa.RecordBatch.from_pydict({"word": list(held), "n": list(held.values())})
+                held = Counter()
+        if held:
+            yield pa.RecordBatch.from_pydict({"word": list(held), "n": list(held.values())})
+
+    some = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike(_OPAQUE.pattern))
+    counted = some.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCS)
+    found = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return "".join(f"{w} " for w in reversed(found)) + IDENTIFIERS
+
+
 def _order(span: tuple[str, int, int]) -> tuple[int, int, int]:
     return span[1], KINDS.index(span[0]), span[2]
 
@@ -124,13 +172,17 @@ def written(spans: list[tuple[str, int, int]]) -> str:
 _SPAN = "array<struct<kind:string,start:long,end:long>>"
 
 
-def secret_scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), novelty: float = NOVELTY) -> DataFrame:
+def secret_scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), novelty: float = NOVELTY, words: str | None = None) -> DataFrame:
     """``keep`` columns plus ``base`` and ``novel``, arrays of (kind, start, end) spans.
 
-    One row per input row, repeated rows included; a null or empty text has no
-    spans; columns not named in ``keep`` are not read.
+    One row per input row, repeated rows and null ids included; a null or empty
+    text has no spans; texts are scanned whole; columns not named in ``keep`` are
+    not read, so they may have any name.  Base spans that begin together stand in
+    the order of the kinds.  ``words`` is the dictionary, made from ``docs``
+    unless given; of an empty table it is the common list alone.
     """
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    words = corpus_identifiers(docs, text_col) if words is None else words
 
     def run(batches):
         for batch in batches:
@@ -139,7 +191,7 @@ def secret_scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
                 text = value.as_py()
                 b = base_spans(text)
                 base.append([dict(zip(("kind", "start", "end"), s)) for s in b])
-                novel.append([dict(zip(("kind", "start", "end"), s)) for s in novel_spans(text, b, novelty)])
+                novel.append([dict(zip(("kind", "start", "end"), s)) for s in novel_spans(text, b, novelty, words)])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(base, span), pa.array(novel, span)], names=[*keep, "base", "novel"])
 
     kept = T.StructType([docs.schema[c] for c in keep])
@@ -148,18 +200,20 @@ def secret_scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, counts by kind, a digest of the base spans, and all spans as text."""
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                base = [(s["kind"], s["start"], s["end"]) for s in row["base"]]
-                every = sorted(base + [(s["kind"], s["start"], s["end"]) for s in row["novel"]], key=_order)
-                count = {k: sum(s[0] == k for s in every) for k in KINDS}
-                rows.append({"doc_id": row["doc_id"], "n_assign": count["assign"], "n_access": count["access"], "n_hex": count["hex"], "n_novel": count["novel"], "base_sha256": hashlib.sha256(written(base).encode()).hexdigest(), "spans": written(every)})
-            yield pa.RecordBatch.from_pylist(rows, schema=_DIGEST)
-
-    return secret_scan(table(spark, sf_dir, "documents")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
-
-
-_DIGEST = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("n_novel", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
+    found = secret_scan(table(spark, sf_dir, "documents"))
+
+    def text(s: Column) -> Column:
+        return F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+
+    def number(spans: str, kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+    # Base spans are in order; no novel one begins where a base one does.
+    placed = F.concat(F.transform("base", lambda s, i: F.struct(s["start"].alias("at"), i.alias("i"), text(s).alias("t"))), F.transform("novel", lambda s, i: F.struct(s["start"].alias("at"), i.alias("i"), text(s).alias("t"))))
+    return found.select(
+        "doc_id",
+        *(number("base", kind).alias(f"n_{kind}") for kind in KINDS[:3]),
+        F.size("novel").cast("long").alias("n_novel"),
+        F.sha2(F.array_join(F.transform("base", text), ",").cast("binary"), 256).alias("base_sha256"),
+        F.array_join(F.transform(F.sort_array(placed), lambda s: s["t"]), ",").alias("spans"),
+    )
