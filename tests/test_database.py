@@ -229,3 +229,43 @@ def test_stream_ingest(db, spark, tmp_path):
     ingest_stream(db, "test", stream, str(tmp_path / "cp"), {"availableNow": True}, flush_rows=1).awaitTermination()
     assert ids(db.search("test", [0, 1, 0, 0])) == ["b", "a"]
     assert db.compaction_stats("test").segments == 1
+
+
+def test_offsets_count_through_files_and_segments(spark, tmp_path):
+    store = Database(str(tmp_path / "offsets"), spark)
+    store.create_collection("places", 2, "l2", [("n", "int64")])
+    for part in range(2):
+        ids = range(part * 40, part * 40 + 40)
+        with_files = {"spark.sql.files.maxRecordsPerFile": "7"}
+        for key, value in with_files.items():
+            spark.conf.set(key, value)
+        store.insert("places", [f"r{i}" for i in ids], [[i, 0.5] for i in ids], {"n": list(ids)})
+        store.flush("places")
+        for key in with_files:
+            spark.conf.unset(key)
+    wanted = [79, 0, 41, 41, 12, 500, -1]
+    got = store.storage.read_by_offsets("places", wanted, ["n"]).collect()
+    assert len(got) == 5 and len({r.ordinal for r in got}) == 5
+    every = {r.n for r in store.storage.read_by_offsets("places", list(range(80)), ["n"]).collect()}
+    assert every == set(range(80))
+    assert {r.n // 40 for r in store.storage.read_by_offsets("places", list(range(40)), ["n"]).collect()} == {0}
+
+
+def test_names_of_functions_are_translated(spark, tmp_path):
+    from vectrove.functions.dialect import translated
+
+    assert translated("SELECT 'make_array(1)', make_array (1, 2), x.array_has(3) -- array_cat(") == "SELECT 'make_array(1)', array (1, 2), x.array_has(3) -- array_cat("
+    store = Database(str(tmp_path / "names"), spark)
+    query = "SELECT array_has(make_array(1, 2), 2) AS a, array_to_string(string_to_array('x.y.z', '.'), '-') AS b, array_element(array_cat(array(1), array(7)), 2) AS c, array_length(array(4, 5)) AS d, unix_seconds(to_timestamp_seconds(9)) AS e"
+    assert store.sql(query).to_pylist() == [{"a": True, "b": "x-y-z", "c": 7, "d": 2, "e": 9}]
+    batches = list(store.sql_stream("SELECT id FROM range(25) ORDER BY id", batch_rows=10))
+    assert [x for b in batches for x in b.column(0).to_pylist()] == list(range(25)) and max(b.num_rows for b in batches) <= 10
+
+
+def test_equally_near_rows_are_cut_by_id(spark):
+    from vectrove.operators.search import batch_top_k
+
+    rows = spark.createDataFrame([(f"{i:04}", [1.0, 0.0]) for i in range(900)] + [("near", [1.0, 0.1])], "_id string, vector array<float>").coalesce(1)
+    queries = spark.createDataFrame([(1, [1.0, 0.1])], "query_id long, query array<float>")
+    got = [(r.id, r["rank"]) for r in batch_top_k(queries, rows, 5, "l2").orderBy("rank").collect()]
+    assert got == [("near", 1), ("0000", 2), ("0001", 3), ("0002", 4), ("0003", 5)]

@@ -147,5 +147,16 @@ class Database:
         return batches[0] if batches else pa.RecordBatch.from_arrays([pa.array([], f.type) for f in table.schema], schema=table.schema)
 
     def sql_stream(self, query: str, args=None, batch_rows: int = 10_000):
-        """The result as record batches of at most ``batch_rows`` rows, for servers and large results."""
-        yield from self.sql_df(query, args).toArrow().to_batches(max_chunksize=batch_rows)
+        """The result as record batches of at most ``batch_rows`` rows; the driver holds one partition's at a time."""
+
+        def packed(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, batch_rows):
+                    part = pa.RecordBatch.from_arrays([c.slice(at, batch_rows) for c in batch.columns], schema=batch.schema)
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, part.schema) as out:
+                        out.write_batch(part)
+                    yield pa.RecordBatch.from_pydict({"batch": [sink.getvalue().to_pybytes()]})
+
+        for row in self.sql_df(query, args).mapInArrow(packed, "batch binary").toLocalIterator():
+            yield from pa.ipc.open_stream(bytes(row["batch"])).read_all().to_batches()

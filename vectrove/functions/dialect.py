@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -13,6 +15,7 @@ FUNCTIONS = {
     "ends_with": ("s STRING, p STRING", "BOOLEAN", "endswith(s, p)"),
     "strpos": ("s STRING, p STRING", "INT", "instr(s, p)"),
     "to_hex": ("n BIGINT", "STRING", "lower(hex(n))"),
+    "string_to_array": ("s STRING, p STRING", "ARRAY<STRING>", "split(s, concat('\\\\Q', p, '\\\\E'))"),
     "sha256": ("s STRING", "STRING", "sha2(s, 256)"),
     "date_bin": ("width INTERVAL DAY TO SECOND, t TIMESTAMP, origin TIMESTAMP DEFAULT TIMESTAMP'1970-01-01 00:00:00'", "TIMESTAMP", "origin + width * floor((unix_micros(t) - unix_micros(origin)) / (extract(DAY FROM width) * 86400000000 + extract(HOUR FROM width) * 3600000000 + extract(MINUTE FROM width) * 60000000 + extract(SECOND FROM width) * 1000000))"),
     "to_unixtime": ("t TIMESTAMP", "BIGINT", "unix_seconds(t)"),
@@ -21,6 +24,40 @@ FUNCTIONS = {
 }
 
 
+# Names that differ from Spark's, where the arguments are the same.
+RENAMED = {
+    "make_array": "array",
+    "make_list": "array",
+    "array_has": "array_contains",
+    "list_has": "array_contains",
+    "array_cat": "concat",
+    "array_concat": "concat",
+    "list_concat": "concat",
+    "array_element": "try_element_at",
+    "list_element": "try_element_at",
+    "array_to_string": "array_join",
+    "list_to_string": "array_join",
+    "array_length": "size",
+    "approx_distinct": "approx_count_distinct",
+    "approx_percentile_cont": "approx_percentile",
+    "to_timestamp_seconds": "timestamp_seconds",
+    "to_timestamp_millis": "timestamp_millis",
+    "to_timestamp_micros": "timestamp_micros",
+}
+
+#: String literals, quoted names and comments, which stay as they are; or a name that is called.
+_PARTS = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|(?<![\w.])([A-Za-z_]\w*)(?=\s*\()""", re.DOTALL)
+
+
+def translated(text: str) -> str:
+    """``text`` with the calls of RENAMED functions under Spark's names."""
+
+    def name(m: re.Match) -> str:
+        return RENAMED.get(m[1].lower(), m[1]) if m[1] else m[0]
+
+    return _PARTS.sub(name, text)
+
+
 def register_dialect(spark: SparkSession) -> None:
     """Define the functions for this session."""
     for name, (args, kind, body) in FUNCTIONS.items():

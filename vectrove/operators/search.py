@@ -91,12 +91,16 @@ def _nearest(block: list, k: int, metric: str, np):
 
 
 def _cut(np, d, ids, k: int):
-    """Per row the k smallest with every tie of the last one, so that ties can go by id later."""
+    """Per row the k smallest, ties by id (null last): k entries, however many are equally near."""
     if d.shape[1] <= 4 * k:
         return d, ids
-    last = np.sort(np.where(np.isnan(d), np.inf, d), axis=1)[:, k - 1 : k]
-    widest = int((d <= last).sum(axis=1).max())
-    keep = np.argsort(np.where(np.isnan(d), np.inf, d), axis=1, kind="stable")[:, : max(k, widest)]
+    d_sorted = np.where(np.isnan(d), np.inf, d)
+    keep = np.argsort(d_sorted, axis=1, kind="stable")[:, :k]
+    last = np.take_along_axis(d_sorted, keep[:, -1:], axis=1)
+    for row in np.flatnonzero((d_sorted <= last).sum(axis=1) > k):
+        nearer = np.flatnonzero(d_sorted[row] < last[row])
+        tied = sorted(np.flatnonzero(d_sorted[row] == last[row]), key=lambda i: (bool(np.isnan(d[row, i])), ids[row, i] is None, ids[row, i] if ids[row, i] is not None else 0))
+        keep[row] = np.concatenate([nearer, tied[: k - len(nearer)]])
     return np.take_along_axis(d, keep, axis=1), np.take_along_axis(ids, keep, axis=1)
 
 

@@ -44,7 +44,11 @@ def _scratch(spark: SparkSession) -> str:
     """A folder for collections that a query writes, in the shared folder of the session where it names one."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vectrove-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="vectrove-")
     return f"{base.rstrip('/')}/collections-{uuid.uuid4().hex}"
 
 

@@ -21,9 +21,9 @@ SHARED = {
     "rel_join_full": "SELECT c_nationkey, s_nationkey, COUNT(*) AS n FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey < 15) c FULL JOIN (SELECT DISTINCT s_nationkey FROM supplier WHERE s_nationkey > 8) s ON c_nationkey = s_nationkey GROUP BY c_nationkey, s_nationkey",
     "rel_join_star": "SELECT r_name, n_name, COUNT(*) AS n_lines, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name",
     "rel_semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)",
-    "rel_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "rel_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority < '2')",
     "rel_in_subquery": "SELECT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)",
-    "rel_not_in": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.05)",
+    "rel_not_in": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.09 AND l_quantity > 40)",
     "rel_theta": "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey < b.n_regionkey AND a.n_nationkey > b.n_nationkey",
     "rel_cross": "SELECT r_name, n_name FROM region CROSS JOIN nation",
     "rel_group_having": "SELECT l_returnflag, l_linestatus, ROUND(SUM(l_quantity), 2) AS sum_qty, ROUND(AVG(l_extendedprice), 4) AS avg_price, MIN(l_discount) AS min_disc, MAX(l_tax) AS max_tax, COUNT(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING COUNT(*) > 10",

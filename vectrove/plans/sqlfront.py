@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectrove.functions.dialect import register_dialect
+from vectrove.functions.dialect import register_dialect, translated
 from vectrove.functions.distance import register_distances
 from vectrove.sources.storage import Storage
 
@@ -34,6 +34,7 @@ class SqlFront:
 
     def query(self, text: str, args=None) -> DataFrame:
         """The DataFrame of a query; ``args`` fill ``:name`` or ``?`` markers. DDL and DML are refused."""
+        text = translated(text)
         plan = self.session._jsparkSession.sessionState().sqlParser().parsePlan(text)
         kind = plan.getClass().getSimpleName()
         if kind not in ("ExplainCommand",) and not kind.startswith("Show") and any(kind.startswith(n) or kind.endswith("Command") for n in _QUERY_NODES):

@@ -141,32 +141,54 @@ class Storage:
         wanted = ids.select(F.col(ids.columns[0]).cast("string").alias(ID)).distinct()
         return self.scan(name).where("NOT _deleted").join(wanted, ID, "left_semi")
 
+    def read_by_offsets(self, name: str, offsets: list[int], columns: list[str] | None = None) -> DataFrame:
+        """Rows of a collection's segments at the given places, counted through the segments in their order."""
+        paths = [p.path for p in self.catalog.state(name).segments]
+        if not paths:
+            raise ValueError(f"collection {name} has no segment")
+        return read_by_offsets(numbered(self.spark, *paths), offsets, columns, paths)
+
     def _packed(self, rows: DataFrame, n: int) -> DataFrame:
-        """As many tasks as files are wanted, without a shuffle when there is one."""
+        """As many tasks as files are wanted, without a shuffle when there is one: many small files become few."""
         wanted = max(1, -(-n // FILE_ROWS))
-        return rows.coalesce(1) if wanted == 1 else rows
+        return rows.coalesce(1) if wanted == 1 else rows.repartition(wanted)
 
     def _drop(self, parts: list[Part]) -> None:
         for p in parts:
             files.remove(self.spark, p.path)
 
 
-def numbered(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """A Parquet data set with ``file`` and ``row_id``, the row's place in its file."""
+def numbered(spark: SparkSession, *paths: str, schema=None) -> DataFrame:
+    """Parquet data sets with ``file`` and ``row_id``, the row's place in its file."""
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(path).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row_id"))
+    return reader.parquet(*paths).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_id"))
 
 
-def read_by_offsets(numbered_rows: DataFrame, offsets: list[int], columns: list[str] | None = None) -> DataFrame:
+def read_by_offsets(numbered_rows: DataFrame, offsets: list[int], columns: list[str] | None = None, folders: list[str] = ()) -> DataFrame:
     """Rows at the given places, with ``ordinal``, their place in the request;
     repeated places give repeated rows, places beyond the end none.
 
-    The places also go to the scan as a filter on the row index.
+    Places are counted through the files by name (within ``folders``, in that
+    order, where given).  Each becomes a file and a row index, which also go to
+    the scan as filters.
     """
+    import bisect
+
     spark = numbered_rows.sparkSession
-    wanted = spark.createDataFrame(list(enumerate(offsets)), "ordinal long, row_id long")
-    kept = numbered_rows.where(F.col("row_id").isin(sorted(set(offsets)))) if offsets else numbered_rows.limit(0)
-    return kept.select(*(columns or [c for c in kept.columns if c not in ("file", "row_id")]), "row_id").join(F.broadcast(wanted), "row_id").drop("row_id")
+    sizes = numbered_rows.groupBy("file").agg((F.max("row_id") + 1).alias("n")).collect()  # a row a file
+    folder = lambda file: next((i for i, f in enumerate(folders) if f.split(":", 1)[-1].lstrip("/").rstrip("/") + "/" in file), -1)
+    sizes = sorted((folder(r["file"]), r["file"], r["n"]) for r in sizes)
+    starts = [0]
+    for *_, n in sizes:
+        starts.append(starts[-1] + n)
+    places = []
+    for ordinal, offset in enumerate(offsets):
+        if 0 <= offset < starts[-1]:
+            at = bisect.bisect_right(starts, offset) - 1
+            places.append((ordinal, sizes[at][1], offset - starts[at]))
+    wanted = spark.createDataFrame(places, "ordinal long, file string, row_id long")
+    kept = numbered_rows.where(F.col("file").isin(sorted({f for _, f, _ in places})) & F.col("row_id").isin(sorted({r for *_, r in places}))) if places else numbered_rows.limit(0)
+    return kept.select(*(columns or [c for c in kept.columns if c not in ("file", "row_id")]), "file", "row_id").join(F.broadcast(wanted), ["file", "row_id"]).drop("file", "row_id")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
