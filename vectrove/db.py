@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -9,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from vectrove.errors import DimensionMismatch
 from vectrove.operators import search as exact
-from vectrove.operators.ann import AnnIndex, ann_top_k, build_index
+from vectrove.operators.ann import AnnIndex, ann_batch_top_k, ann_top_k, build_index
 from vectrove.operators.maintenance import BackgroundCompactor
 from vectrove.plans.sqlfront import SqlFront
+from vectrove.sources import files
 from vectrove.sources.catalog import Catalog
 from vectrove.sources.rows import as_query, conform, frame_rows
 from vectrove.sources.schema import CREATED, DELETED, ID, VECTOR, CollectionConfig, CompactionConfig, IndexConfig, metric_name
@@ -111,27 +113,54 @@ class Database:
             return exact.top_k(rows, query, top_k, chosen, where=filter)
         if mode != "ann":
             raise ValueError(f"unknown search mode: {mode}")
+        index = self._index(collection, chosen)
+        near = self._listed(collection, index, index.lists(query))
         if filter is not None:
-            rows = rows.where(filter)
-        return ann_top_k(self._index(collection, chosen), rows, query, top_k, max(top_k, ef or state.config.index.ef_search))
+            rows, near = rows.where(filter), near.where(filter)
+        return ann_top_k(near, rows, query, top_k, chosen)
 
-    def search_batch(self, collection: str, queries: DataFrame, top_k: int = 10, metric: str | None = None) -> DataFrame:
+    def search_batch(self, collection: str, queries: DataFrame, top_k: int = 10, metric: str | None = None, mode: str = "exact") -> DataFrame:
         """query_id, id, distance, rank for a DataFrame of query_id and query."""
         state = self.catalog.state(collection)
-        return exact.batch_top_k(queries, self.storage.live(collection), top_k, metric_name(metric) if metric else state.config.distance_metric)
+        chosen = metric_name(metric) if metric else state.config.distance_metric
+        if mode == "exact":
+            return exact.batch_top_k(queries, self.storage.live(collection), top_k, chosen)
+        if mode != "ann":
+            raise ValueError(f"unknown search mode: {mode}")
+        index = self._index(collection, chosen)
+        return ann_batch_top_k(index, queries, lambda lists: self._listed(collection, index, lists), top_k)
 
     def build_index(self, collection: str, metric: str | None = None, **options) -> None:
-        """Fit and keep the approximate index of a collection; flush and compaction drop it."""
+        """Write the approximate index of a collection, flushed first; flushes keep it, compaction drops it.
+
+        Rows inserted later are searched exactly beside it, until it is built again.
+        """
         chosen = metric_name(metric) if metric else self.catalog.state(collection).config.distance_metric
-        index = build_index(self.storage.live(collection).select(VECTOR), chosen, **options)
-        saved = index.save(f"{self.catalog.folder(collection)}/indexes/{chosen}")
-        with self.catalog.change(collection) as state:
-            state.indexes[chosen] = saved
+        with self.catalog.lock:
+            self.storage.flush(collection)
+            state = self.catalog.state(collection)
+            path = f"{self.catalog.folder(collection)}/indexes/{chosen}-{uuid.uuid4().hex}"
+            index = build_index(self.storage.live(collection).drop(CREATED, DELETED), chosen, path, [p.path for p in state.segments], **options)
+            old = state.indexes.get(chosen)
+            with self.catalog.change(collection) as draft:
+                draft.indexes[chosen] = index.saved()
+            if old:
+                files.remove(self.spark, old["path"])
 
     def _index(self, collection: str, metric: str) -> AnnIndex:
         if metric not in self.catalog.state(collection).indexes:
             self.build_index(collection, metric)
-        return AnnIndex.load(self.catalog.state(collection).indexes[metric])
+        return AnnIndex.load(self.spark, self.catalog.state(collection).indexes[metric])
+
+    def _listed(self, collection: str, index: AnnIndex, lists: list[int]) -> DataFrame:
+        """Live rows of the given lists, and all that the index does not hold yet."""
+        state = self.catalog.state(collection)
+        schema = self.storage.read(state, []).drop(CREATED, DELETED).schema
+        rows = index.read(self.spark, schema, lists)
+        later = [p for p in [*state.segments, *state.fragments] if p.path not in index.covers]
+        if later:
+            rows = rows.unionByName(self.storage.read(state, later).drop(CREATED, DELETED))
+        return self.storage.without_deleted(state, rows)
 
     # SQL
 

@@ -225,10 +225,22 @@ def centroid_by_label(spark, sf_dir):
     return flat.groupBy("label", F.col("i").cast("long").alias("i")).agg(rounded(F.avg(F.col("x").cast("double"))).alias("mean_x"))
 
 
+def _asked(spark, sf_dir):
+    return embeddings(spark, sf_dir).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
 def ann_topk(spark, sf_dir):
-    db = _stored(spark, sf_dir)
-    near = db.search_df("items", first_vector(spark, sf_dir), 10, mode="ann")
-    return near.select("_id", rounded(F.col("distance")).alias("d"))
+    near = _stored(spark, sf_dir).search_batch("items", _asked(spark, sf_dir), 10, mode="ann")
+    return near.select("query_id", F.col("id").alias("_id"), rounded(F.col("distance")).alias("d"), "rank")
+
+
+def ann_recall(spark, sf_dir):
+    """Whether 0.9 of the ten nearest of every hundredth row, by exact distance, are found in the lists read."""
+    db, asked = _stored(spark, sf_dir), _asked(spark, sf_dir)
+    want = db.search_batch("items", asked, 10).select("query_id", "id")
+    got = db.search_batch("items", asked, 10, mode="ann").select("query_id", "id", F.lit(1).alias("hit"))
+    both = want.join(got, ["query_id", "id"], "left")
+    return both.agg(F.count("*").alias("n_sought"), (F.count("hit") >= 0.9 * F.count("*")).alias("reached"))
 
 
 _V = "embedding::DOUBLE[]"
@@ -279,9 +291,11 @@ QUERIES = {
     "dist_by_label": dist_by_label,
     "centroid_by_label": centroid_by_label,
     "ann_topk": ann_topk,
+    "ann_recall": ann_recall,
 }
 
 ORACLE_SQL = {
+    "ann_recall": "SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0) * least(10, (SELECT count(*) FROM embeddings)) AS n_sought, true AS reached",
     "coll_scan": f"SELECT {_ID}, {_LABEL} FROM embeddings",
     "coll_filter_eq": f"SELECT {_ID}, {_LABEL} FROM embeddings WHERE label = 3",
     "coll_filter_range": f"SELECT {_ID}, {_LABEL} FROM embeddings WHERE label BETWEEN 2 AND 5",

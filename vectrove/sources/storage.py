@@ -107,7 +107,6 @@ class Storage:
             with self.catalog.change(name) as draft:
                 draft.segments.append(part)
                 draft.fragments = []
-                draft.indexes = {}
             self._drop(old)
             return True
 
@@ -129,6 +128,8 @@ class Storage:
                 draft.segments = [part] if part.rows else []
                 draft.tombstones = None
                 draft.indexes = {}
+            for index in state.indexes.values():
+                files.remove(self.spark, index["path"])
             self._drop([*old, *([gone] if gone else []), *([] if part.rows else [part])])
             return before, len(self.catalog.state(name).segments), rows - part.rows
 
