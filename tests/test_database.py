@@ -304,3 +304,38 @@ def test_equally_near_rows_are_cut_by_id(spark):
     queries = spark.createDataFrame([(1, [1.0, 0.1])], "query_id long, query array<float>")
     got = [(r.id, r["rank"]) for r in batch_top_k(queries, rows, 5, "l2").orderBy("rank").collect()]
     assert got == [("near", 1), ("0000", 2), ("0001", 3), ("0002", 4), ("0003", 5)]
+
+
+def test_qualify(db):
+    db.create_collection("ranked", 2, "l2", [("kind", "string"), ("n", "int64")])
+    db.insert("ranked", list("abcd"), [[0, 0], [0, 1], [1, 0], [1, 1]], {"kind": ["x", "x", "y", "y"], "n": [4, 7, 2, 9]})
+    first = "SELECT _id, n FROM ranked QUALIFY row_number() OVER (PARTITION BY kind ORDER BY n DESC) = 1"
+    assert db.sql(first + " ORDER BY n").to_pylist() == [{"_id": "b", "n": 7}, {"_id": "d", "n": 9}]
+    assert db.sql(f"SELECT sum(n) AS s FROM ({first}) t").to_pylist() == [{"s": 16}]
+    assert db.sql("WITH w AS (" + first + ") SELECT _id FROM w WHERE n > 8").to_pylist() == [{"_id": "d"}]
+    assert db.sql("SELECT DISTINCT kind FROM ranked QUALIFY count(*) OVER (PARTITION BY kind) = 2 UNION ALL SELECT 'QUALIFY' ORDER BY kind").to_pylist() == [{"kind": "QUALIFY"}, {"kind": "x"}, {"kind": "y"}]
+    assert db.sql("SELECT kind, count(*) AS c FROM ranked GROUP BY kind QUALIFY rank() OVER (ORDER BY kind) < 2").to_pylist() == [{"kind": "x", "c": 2}]
+    assert db.sql("SELECT 1 AS qualify").to_pylist() == [{"qualify": 1}]
+
+
+def test_flight(db):
+    flight = pytest.importorskip("pyarrow.flight")
+    from vectrove import server
+
+    db.create_collection("served", 2, "l2", [("n", "int64")])
+    db.insert("served", [str(i) for i in range(50)], np.zeros((50, 2)), {"n": list(range(50))})
+    query = "SELECT n, concat('id ', _id) AS t FROM served WHERE n < 30"
+    packed = server._field(1, b"type.googleapis.com/arrow.flight.protocol.sql.CommandStatementQuery") + server._field(2, server._field(1, query.encode()))
+    with server.FlightServer(db, port=0, batch_rows=7) as served, flight.connect(f"grpc://127.0.0.1:{served.port}") as client:
+        for command in (packed, query.encode()):
+            info = client.get_flight_info(flight.FlightDescriptor.for_command(command))
+            assert info.schema.names == ["n", "t"]
+            read = list(client.do_get(info.endpoints[0].ticket))
+            assert sorted(n for b in read for n in b.data["n"].to_pylist()) == list(range(30)) and max(b.data.num_rows for b in read) <= 7
+        empty = client.get_flight_info(flight.FlightDescriptor.for_command(b"SELECT n FROM served WHERE n < 0"))
+        assert client.do_get(empty.endpoints[0].ticket).read_all().num_rows == 0
+        for refused in (b"DROP TABLE served", b"SELECT nothing FROM served", server._field(1, b"type.googleapis.com/arrow.flight.protocol.sql.CommandGetCatalogs") + server._field(2, b"")):
+            with pytest.raises(flight.FlightError):
+                client.get_flight_info(flight.FlightDescriptor.for_command(refused))
+    long = "SELECT '" + "x" * 300 + "'"
+    assert server.statement(server._field(1, server._TICKET.encode()) + server._field(2, server._field(1, long.encode()))) == long

@@ -19,6 +19,10 @@ def main(argv: list[str] | None = None) -> int:
     commands.add_parser("compact").add_argument("collection")
     maintain = commands.add_parser("maintain", help="check all collections for compaction, again and again")
     maintain.add_argument("--interval", type=float, default=60)
+    serve = commands.add_parser("serve", help="answer queries over Arrow Flight and compact in the background")
+    serve.add_argument("--host", default="127.0.0.1")
+    serve.add_argument("--port", type=int, default=50052)
+    serve.add_argument("--interval", type=float, default=60)
     args = parser.parse_args(argv)
     database = Database(args.data_dir)
     if args.command == "list":
@@ -30,6 +34,14 @@ def main(argv: list[str] | None = None) -> int:
         database.flush(args.collection)
     elif args.command == "compact":
         print(json.dumps(database.compact(args.collection)))
+    elif args.command == "serve":
+        from vectrove.server import FlightServer
+
+        compactor = database.start_compactor(CompactionConfig(check_interval_secs=args.interval))
+        try:
+            FlightServer(database, args.host, args.port).serve()
+        finally:
+            compactor.stop()
     else:
         database.start_compactor(CompactionConfig(check_interval_secs=args.interval))._thread.join()
     return 0

@@ -49,13 +49,57 @@ RENAMED = {
 _PARTS = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|(?<![\w.])([A-Za-z_]\w*)(?=\s*\()""", re.DOTALL)
 
 
+#: As _PARTS; or a word or a bracket.
+_TOKENS = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|([A-Za-z_]\w*|[()\[\];])""", re.DOTALL)
+#: Words that end the condition of QUALIFY.
+_AFTER_QUALIFY = ("ORDER", "LIMIT", "OFFSET", "UNION", "INTERSECT", "EXCEPT", "MINUS", "WINDOW")
+
+
 def translated(text: str) -> str:
-    """``text`` with the calls of RENAMED functions under Spark's names."""
+    """``text`` with the calls of RENAMED functions under Spark's names, and without QUALIFY."""
 
     def name(m: re.Match) -> str:
         return RENAMED.get(m[1].lower(), m[1]) if m[1] else m[0]
 
-    return _PARTS.sub(name, text)
+    text = _PARTS.sub(name, text)
+    while (changed := _without_qualify(text)) is not None:
+        text = changed
+    return text
+
+
+def _without_qualify(text: str) -> str | None:
+    """The last QUALIFY of ``text`` as a filter around its query block; None if there is none.
+
+    Its condition becomes one more column of the block.  What follows it (ORDER
+    BY, LIMIT, set operations) sees the columns of the select list.
+    """
+    words, depth = [], 0  # (word, start, end, depth)
+    for m in _TOKENS.finditer(text):
+        if m[1]:
+            depth -= m[1] in ")]"
+            words.append((m[1].upper(), m.start(), m.end(), depth))
+            depth += m[1] in "(["
+    # A name may be called so too: QUALIFY as a clause follows something and is not behind a dot or AS.
+    clauses = [i for i, (w, start, _, _) in enumerate(words) if w == "QUALIFY" and i and words[i - 1][0] not in ("AS", "SELECT") and not text[:start].rstrip().endswith((".", ","))]
+    if not clauses:
+        return None
+    at = clauses[-1]
+    level = words[at][3]
+    begin = next((i for i in range(at, -1, -1) if words[i][0] == "SELECT" and words[i][3] == level), None)
+    if begin is None:
+        return None
+    source = next((i for i in range(begin, at) if words[i][0] == "FROM" and words[i][3] == level and words[i - 1][0] != "DISTINCT"), None)
+    if source is None:
+        return None
+    end = next((start for w, start, _, d in words[at + 1 :] if d < level or (d == level and (w in _AFTER_QUALIFY or w == ";"))), len(text))
+    after = words[begin][2]
+    distinct = words[begin + 1][0] == "DISTINCT" and words[begin + 1][3] == level
+    if distinct:
+        after = words[begin + 1][2]
+    column = f"__qualify{at}"
+    inner = f"SELECT{text[after : words[source][1]].rstrip()}, ({text[words[at][2] : end].strip()}) AS {column} {text[words[source][1] : words[at][1]].rstrip()}"
+    outer = f"SELECT {'DISTINCT ' if distinct else ''}* EXCEPT ({column}) FROM ({inner}) WHERE {column} "
+    return text[: words[begin][1]] + outer + text[end:]
 
 
 def register_dialect(spark: SparkSession) -> None:
