@@ -53,7 +53,7 @@ def format_name(name: str | None) -> str:
 
 @dataclass(frozen=True)
 class IndexConfig:
-    """Graph-index settings are kept for callers that set them; of these only ef_search has an effect, on approximate search."""
+    """Graph-index settings are kept for callers that set them; none of them has an effect."""
 
     m: int = 16
     max_elements: int = 1_000_000
