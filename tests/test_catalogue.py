@@ -10,7 +10,7 @@ import __spark_entry__ as entry_module
 from vectrove.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = [n for n in catalogue.ORACLE_SQL if n.startswith(("topk_", "dist_", "batch", "read_by", "rel_join", "rel_groups", "rel_dialect", "rel_string", "rel_regex", "compact", "insert_"))]
+SAMPLE = [n for n in catalogue.ORACLE_SQL if n.startswith(("topk_", "dist_", "batch", "read_by", "rel_join", "rel_groups", "rel_dialect", "rel_string", "rel_regex", "compact", "insert_", "fn_"))]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 

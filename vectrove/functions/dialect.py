@@ -30,6 +30,8 @@ RENAMED = {
     "make_list": "array",
     "array_has": "array_contains",
     "list_has": "array_contains",
+    "array_has_any": "arrays_overlap",
+    "list_has_any": "arrays_overlap",
     "array_cat": "concat",
     "array_concat": "concat",
     "list_concat": "concat",

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectrove.plans import collections, relational
+from vectrove.plans import collections, named, relational
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**collections.QUERIES, **relational.QUERIES}
-ORACLE_SQL: dict[str, str] = {**collections.ORACLE_SQL, **relational.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**collections.QUERIES, **relational.QUERIES, **named.QUERIES}
+ORACLE_SQL: dict[str, str] = {**collections.ORACLE_SQL, **relational.ORACLE_SQL, **named.ORACLE_SQL}
