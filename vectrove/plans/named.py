@@ -74,8 +74,8 @@ FAMILIES: dict[str, tuple[str, str, list[tuple[str, ...]]]] = {
             ("decode", "decode(encode(p_name, 'UTF-8'), 'UTF-8')", "decode(encode(p_name))"),
             _whole("uuid", "length(uuid())", "36"),
             _whole("regexp_count", f"regexp_count({_WORDS}, '[aeiouAEIOU]')", f"len(regexp_extract_all({_WORDS}, '[aeiouAEIOU]'))"),
-            _whole("regexp_instr", f"regexp_instr({_WORDS}, '[0-9]')", f"instr({_WORDS}, regexp_extract({_WORDS}, '[0-9]'))"),
-            ("regexp_extract_all", f"array_join(regexp_extract_all({_WORDS}, '([a-z]+)', 1), ',')", f"array_to_string(regexp_extract_all({_WORDS}, '([a-z]+)', 1), ',')"),
+            _whole("regexp_instr", "regexp_instr(p_name, '[g-m]')", "CASE WHEN regexp_matches(p_name, '[g-m]') THEN instr(p_name, regexp_extract(p_name, '[g-m]')) ELSE 0 END"),
+            ("regexp_extract_all", "array_join(regexp_extract_all(p_name, '([a-f]+)', 1), ',')", "array_to_string(regexp_extract_all(p_name, '([a-f]+)', 1), ',')"),
         ],
     ),
     "fn_conditional": (
