@@ -155,3 +155,27 @@ def test_chunks_and_parts(spark):
 def test_repeated_and_nameless_rows(spark):
     rows = [(4, prose(1, 90))] * 3 + [(None, prose(1, 90))] * 2 + [(6, prose(1, 90)), (None, prose(2, 50)), (None, prose(2, 50)), (7, edited(prose(1, 90), 3, 1))]
     compare(spark, rows, 3, 9, 10)
+
+
+def test_workers_get_a_partition_in_small_batches(spark, monkeypatch, tmp_path):
+    """A whole partition at once is held by the executor and by its worker."""
+    sizes, made = str(tmp_path / "sizes"), jaccard_join._send
+
+    def noted(*args):
+        run = made(*args)
+
+        def noting(batches):
+            for batch in batches:
+                with open(sizes, "a") as f:
+                    f.write(f"{batch.nbytes}\n")
+                yield batch
+
+        return lambda batches: run(noting(batches))
+
+    monkeypatch.setattr(jaccard_join, "_send", noted)
+    rows = [(i, f"word{i} " * 25_000) for i in range(60)]
+    got = ngram_jaccard_join(frame(spark, rows, clash=False).coalesce(1), k=3, num=9, den=10)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == [(i, 1, i) for i in range(60)]
+    with open(sizes) as f:
+        found = [int(x) for x in f]
+    assert sum(found) > 8 << 20 and max(found) < 3 << 20

@@ -106,5 +106,23 @@ def give_back(run):
     return trimmed
 
 
+#: Bytes of rows that a Python worker gets at once (a longer row comes by itself).
+BATCH_BYTES = 2 << 20
+
+
+def in_arrow(rows: DataFrame, run, schema) -> DataFrame:
+    """``rows.mapInArrow(give_back(run), schema)`` in batches of about BATCH_BYTES.
+
+    Spark's own bound of 64 MB makes one batch of a whole partition, which the
+    executor and its worker both hold.  The bound is read when a plan runs, so it
+    is lowered for the session, and never raised.
+    """
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = rows.sparkSession._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if now <= 0 or now > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return rows.mapInArrow(give_back(run), schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectrove.llm._common import give_back, table, text_or_empty
+from vectrove.llm._common import in_arrow, table, text_or_empty
 
 #: Texts longer than this many code points go to the library in pieces of about this length.
 PIECE_CHARS = 1 << 16
@@ -100,7 +100,7 @@ def bpe_encode(docs: DataFrame, text_col: str = "text", ranks_path: str | None =
             arrays = [batch.column(i) for i in range(len(keep))] + [pa.array(list(c), type=t) for c, t in zip(columns, types)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *(f.name for f in made)])
 
-    return docs.select(*keep, text_or_empty(text_col).alias("__text")).mapInArrow(give_back(run), T.StructType([*keep_types, *made]))
+    return in_arrow(docs.select(*keep, text_or_empty(text_col).alias("__text")), run, T.StructType([*keep_types, *made]))
 
 
 def bpe_decode(encoded: DataFrame, ids_col: str = "ids", ranks_path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -114,7 +114,7 @@ def bpe_decode(encoded: DataFrame, ids_col: str = "ids", ranks_path: str | None
             raw = [enc.decode_bytes(x.as_py() or []) for x in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(raw, type=pa.binary())], names=[*keep, "decoded"])
 
-    return encoded.select(*keep, F.col(ids_col).alias("__ids")).mapInArrow(give_back(run), T.StructType(fields))
+    return in_arrow(encoded.select(*keep, F.col(ids_col).alias("__ids")), run, T.StructType(fields))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectrove.llm._common import give_back, table
+from vectrove.llm._common import in_arrow, table
 
 #: Edits per item word; recall aimed at; share of output places on which a match is taken to agree; places to a sample; walks.
 MAX_SHARE, RECALL, AGREE, PLACES, WALKS = 0.2, 0.999, 0.35, 2, 8
@@ -305,7 +305,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
                     if found:
                         yield pa.RecordBatch.from_pylist(found, schema=kind)
 
-        part = rows.mapInArrow(give_back(run), "doc_id long, item_id long, start long, end long, n_edits int")
+        part = in_arrow(rows, run, "doc_id long, item_id long, start long, end long, n_edits int")
         out = part if out is None else out.union(part)
     return out
 
@@ -323,7 +323,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     hits = matcher.matches([words_of(t) for t in part.column(place).to_pylist()])
                     yield part.filter(pa.array([not h for h in hits], pa.bool_()))
 
-        docs = docs.mapInArrow(give_back(run), T.StructType(schema.fields))
+        docs = in_arrow(docs, run, T.StructType(schema.fields))
     return docs
 
 

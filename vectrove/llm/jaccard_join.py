@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrove.llm._common import give_back, materialize, release, sized, table, text_or_empty
+from vectrove.llm._common import in_arrow, materialize, release, sized, table, text_or_empty
 from vectrove.llm._components import connected_components
 from vectrove.llm._exchange import split_join
 from vectrove.llm._packed import pack, pack_keys, unpack, unpack_keys
@@ -417,7 +417,7 @@ def _edges(pairs):
 
 def _searched(dealt: DataFrame, keys: list[str], num: int, den: int, labelled: bool = False) -> DataFrame:
     columns = [*keys, "node", "s", *(["label"] if labelled else [])]
-    return dealt.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(give_back(_search(num, den, len(keys), labelled)), "u long, v long")
+    return in_arrow(dealt.select(*columns).repartition(*keys).sortWithinPartitions(*keys), _search(num, den, len(keys), labelled), "u long, v long")
 
 
 def _candidate_edges(listed_keys: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -509,13 +509,13 @@ def ngram_jaccard_join(docs: DataFrame, text_col: str = "text", id_col: str = "d
         twice, again = sized(twice), F.col("th") == F.col("twice")
         own = own.join(twice, again, "left_anti").unionByName(own.join(twice, again, "left_semi").dropDuplicates(["id", "th"]))
     # Counts of shingles, and from them each node's first elements.
-    sent = own.select("id", "th", "text").mapInArrow(give_back(_send(k, bits, parts, chunk_shingles)), _SENT)
-    asked = sent.repartitionById(parts, "route").sortWithinPartitions("part", "chunk").mapInArrow(give_back(_answer), _ANSWER)
-    prefixes = materialize(asked.repartitionById(parts, "route").sortWithinPartitions("chunk", "part").mapInArrow(give_back(_lists(num, den)), _LISTED), "jaccard-prefixes")
+    sent = in_arrow(own.select("id", "th", "text"), _send(k, bits, parts, chunk_shingles), _SENT)
+    asked = in_arrow(sent.repartitionById(parts, "route").sortWithinPartitions("part", "chunk"), _answer, _ANSWER)
+    prefixes = materialize(in_arrow(asked.repartitionById(parts, "route").sortWithinPartitions("chunk", "part"), _lists(num, den), _LISTED), "jaccard-prefixes")
     some = prefixes.where(F.size("keys") > 0)
     groups = materialize(connected_components(_candidate_edges(some), "jaccard-candidates"), "jaccard-groups")
     wanted = own.join(sized(groups), F.col("id") == F.col("node")).select("component", "node", "text")
-    sets = materialize(wanted.mapInArrow(give_back(_sets(k, num, den)), "component long, node long, n long, classes array<int>, s binary"), "jaccard-candidate-sets")
+    sets = materialize(in_arrow(wanted, _sets(k, num, den), "component long, node long, n long, classes array<int>, s binary"), "jaccard-candidate-sets")
     large = materialize(sets.groupBy(F.col("component").alias("c")).agg(_blocks().alias("blocks")).where("blocks > 1").select("c"), "jaccard-large-groups")
     n_large = large.count()
     small = sets if not n_large else sets.join(sized(large), F.col("component") == F.col("c"), "left_anti")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectrove.llm._common import give_back, materialize, table
+from vectrove.llm._common import in_arrow, materialize, table
 
 #: Length of a vector, and how many trigram vectors a worker keeps.
 DIM, KEPT_VECTORS = 1024, 1 << 14
@@ -127,7 +127,7 @@ def fit_language_profiles(train: DataFrame, text_col: str = "text", lang_col: st
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (dim + 1)), pa.array(range(dim + 1), pa.int32()), pa.array(total)], names=["lang", "i", "x"])
 
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    summed = rows.mapInArrow(give_back(run), "lang string, i int, x double").groupBy("lang", "i").agg(F.sum("x").alias("x"))
+    summed = in_arrow(rows, run, "lang string, i int, x double").groupBy("lang", "i").agg(F.sum("x").alias("x"))
     every = summed.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
     return materialize(every.select("lang", F.slice("v", 1, dim).alias("v"), F.get("v", F.lit(dim)).alias("n")), "language-profiles")
 
@@ -196,7 +196,7 @@ def identify_language(docs: DataFrame, model: DataFrame, text_col: str = "text",
                 columns = [*batch.columns[: len(keep)], *(pa.array(x, k) for x, k in zip(best, (pa.string(), pa.float64(), pa.float64()))), batch.column(len(keep) + 3)]
                 yield pa.RecordBatch.from_arrays(columns[:n_out], names=batch.schema.names[:n_out])
 
-        rows = rows.mapInArrow(give_back(run), T.StructType([*kept, *told, T.StructField("__text", T.StringType())][:n_out]))
+        rows = in_arrow(rows, run, T.StructType([*kept, *told, T.StructField("__text", T.StringType())][:n_out]))
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("__score")))
     return rows.select(*keep, F.col("__lang").alias(out[0]), score.alias(out[1]), F.col("__expected").alias(out[2]))
 
