@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vectrove.operators.frames import range_count
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 # Text that both engines read.
@@ -152,10 +154,17 @@ def rel_frame_api(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.join(customer, latest.o_custkey == customer.c_custkey).groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+def rel_range_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text's frame by running counts: Spark's own sliding frame reads the whole frame for each price."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return range_count(orders, "o_orderstatus", "o_totalprice", 1000, 1000, "near").select("o_orderkey", "near")
+
+
 QUERIES = {
     **{n: _sql(t) for n, t in SHARED.items()},
     **{n: _sql(t) for n, (t, _) in PAIRS.items()},
     **{n: _sql(t) for n, t in ROWS_ONLY.items()},
+    "rel_range_frame": rel_range_frame,
     "rel_frame_api": rel_frame_api,
 }
 
